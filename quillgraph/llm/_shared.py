@@ -41,11 +41,12 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.made = spark, {}, 0
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.root}-{name}-{len(self.paths)}"
+        self.made += 1
+        path = f"{self.root}-{name}-{self.made}"
         w = df.write.option("compression", "zstd")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

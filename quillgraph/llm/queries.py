@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import ngram_join, packing, token_counts
 from ._shared import table
 
 QUERIES: dict = {}
@@ -22,3 +22,8 @@ def op3_token_counts(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
