@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, token_counts
+from pyspark.sql import functions as F
+
+from . import chunk_dedup, ngram_join, packing, token_counts
 from ._shared import table
 
 QUERIES: dict = {}
@@ -27,3 +29,18 @@ def op10_packing(spark, sf_dir):
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    """Per document: the text that stays, what was cut and whom it repeats."""
+    cut = chunk_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "r.doc_id",
+        "r.text",
+        F.length("r.text").cast("long").alias("n_chars"),
+        (F.coalesce(F.col("r.n_chars"), F.lit(0)) - F.coalesce(F.length("r.text"), F.lit(0))).cast("long").alias("cut_chars"),
+        F.size("spans").alias("n_spans"),
+        F.col("spans").alias("cut_byte_spans"),
+        F.col("sources").alias("repeats_doc_ids"),
+    )
