@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, ngram_join, packing, token_counts
+from . import chunk_dedup, ngram_join, packing, syncmers, token_counts
 from ._shared import table
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def op9_substring_dedup(spark, sf_dir):
         F.col("spans").alias("cut_byte_spans"),
         F.col("sources").alias("repeats_doc_ids"),
     )
+
+
+@query
+def op2_fingerprints(spark, sf_dir):
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
