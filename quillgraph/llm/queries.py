@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, ngram_join, packing, syncmers, token_counts
+from . import chunk_dedup, ngram_join, packing, syncmers, token_counts, toxicity
 from ._shared import table
 
 QUERIES: dict = {}
@@ -49,3 +49,11 @@ def op9_substring_dedup(spark, sf_dir):
 @query
 def op2_fingerprints(spark, sf_dir):
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("r.doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("r.doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
