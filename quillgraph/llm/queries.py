@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, ngram_join, packing, syncmers, token_counts, toxicity
+from . import chunk_dedup, ngram_join, packing, syncmers, token_counts, toxicity, word_bpe
 from ._shared import table
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op4_toxicity(spark, sf_dir):
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("r.doc_id").cast("string").cast("binary")) % 3 == 1
     return scored.select("r.doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
+
+
+@query
+def op5_word_bpe(spark, sf_dir):
+    return word_bpe.encode(table(spark, sf_dir, "documents"), full=False).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
