@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, ngram_join, packing, syncmers, token_counts, toxicity, word_bpe
+from . import chunk_dedup, ngram_join, packing, syncmers, threshold_topk, token_counts, toxicity, url_rules, word_bpe
 from ._shared import table
 
 QUERIES: dict = {}
@@ -62,3 +62,30 @@ def op4_toxicity(spark, sf_dir):
 @query
 def op5_word_bpe(spark, sf_dir):
     return word_bpe.encode(table(spark, sf_dir, "documents"), full=False).withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+@query
+def op6_threshold_topk(spark, sf_dir):
+    vectors = threshold_topk.quantised(table(spark, sf_dir, "embeddings"))
+    return threshold_topk.search(vectors, vectors.filter(f"vec_id % {threshold_topk.EVERY} = 0"))
+
+
+ORACLES["op6_threshold_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op7_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"))
