@@ -23,9 +23,9 @@ def pages(seed, n=600):
     out = list(URLS)
     for i in range(n):
         spam = rng.random() < 0.4
-        end = "net" if spam and rng.random() < 0.8 else "org"
+        end = rng.choice(["com", "net" if spam else "org"])
         words = "win/casino" if spam else "news/story"
-        lang = "fr" if end == "org" and rng.random() < 0.6 else "en"
+        lang = "fr" if end == "org" else "en"
         out.append(f"https://{'spam' if spam else 'good'}.site{i % 7}.{end}/{lang}/{words}/{i}?id={i}")
     return out
 
