@@ -43,7 +43,7 @@ WORDS, NUM, DEN = 5, 80, 100
 #: Counters of the frequency sketch, and chunks they travel in.
 CELLS, CHUNKS = 1 << 22, 64
 #: A column with more rows than this isn't multiplied out.
-LIST = 32
+LIST = 8
 #: Entries of the product's operand per block, on average.
 BLOCK_ENTRIES = 500_000
 #: Entries gathered in a task before they are packed by block.
@@ -313,7 +313,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
 
 def _verified(docs: DataFrame, pairs: DataFrame, s: Scratch, words: int, num: int, den: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = s.write(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = s.write(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "ta", "b", "tb")
     links = s.write(both.mapInArrow(_count(words, num, den), "u long, v long"), "links")
     s.drop(texts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, ngram_join, packing, syncmers, threshold_topk, token_counts, toxicity, url_rules, word_bpe
+from . import chunk_dedup, ngram_join, packing, syncmers, threshold_topk, token_counts, toxicity, url_rules, warc, word_bpe
 from ._shared import table
 
 QUERIES: dict = {}
@@ -89,3 +89,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query
 def op7_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h,
+         min(page_id) OVER (PARTITION BY html) AS first_id
+  FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c:
+    list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+                 CAST(strpos('0123456789abcdef', c) AS INTEGER))), '') AS bits
+  FROM d
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INTEGER)
+        + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INTEGER) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS BIGINT), 1) AS INTEGER)
+        + CAST(substr(bits, CAST(5 * i + 5 AS BIGINT), 1) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
