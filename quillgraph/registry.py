@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def _load() -> None:
+    """Bring in the modules that register queries."""
+    from . import queries_read  # noqa: F401
+
+
+_load()
