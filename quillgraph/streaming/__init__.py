@@ -1 +1 @@
-"""quillgraph.streaming"""
+"""Streams of changes and their batch twins."""
