@@ -89,13 +89,11 @@ def retained(changes: DataFrame, now=None, events: int = RETAIN_EVENTS, hours: i
     newest = F.lit(now).cast("timestamp") if now is not None else F.col("__now")
     limits = changes.groupBy("domain_id").agg(F.max("committed_at").alias("__now"), F.max("revision").alias("__top"))
     young = changes.join(limits, "domain_id").filter(F.col("committed_at") >= newest - F.expr(f"INTERVAL {hours} HOURS"))
-    w = Window.partitionBy("domain_id").orderBy(F.desc("revision"))
     near = young.withColumn("__block", F.floor((F.col("__top") - F.col("revision")) / 4096))
     blocks = near.groupBy("domain_id", "__block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("domain_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     open_blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("__before") < events)
     inside = Window.partitionBy("domain_id", "__block").orderBy(F.desc("revision"))
-    del w
     kept = near.join(open_blocks.drop("n"), ["domain_id", "__block"]).withColumn("__n", F.row_number().over(inside) + F.col("__before"))
     return kept.filter(F.col("__n") <= events).select(*changes.columns)
 
