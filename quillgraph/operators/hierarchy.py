@@ -164,7 +164,7 @@ def reorder(edges: DataFrame, parent: str, ordered: list[str], step: float = 1.0
     have = [r["dst"] for r in edges.filter(F.col("src") == parent).select("dst").collect()]  # one parent's children
     if sorted(have) != sorted(ordered):
         raise Conflict("the order must name every child exactly once")
-    new = edges.sparkSession.createDataFrame([(c, (i + 1) * step) for i, c in enumerate(ordered)], "__c string, __o double")
+    new = edges.sparkSession.createDataFrame([(c, float((i + 1) * step)) for i, c in enumerate(ordered)], "__c string, __o double")
     hit = edges.join(F.broadcast(new), (F.col("src") == parent) & (F.col("dst") == F.col("__c")), "left")
     return hit.withColumn("ord", F.coalesce("__o", "ord")).drop("__c", "__o")
 
