@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from .catalog import Graph, Index
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is looked up once a session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _FRAMES:
+        _FRAMES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _FRAMES[key]
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:

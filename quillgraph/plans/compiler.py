@@ -238,6 +238,8 @@ class Compiler:
                 for c in PSEUDO_EDGE:
                     want(Ref(i.what, c))
 
+        track = bool(q.path) or q.graph or any(s.quantified or s.max_depth > 1 for s in q.steps)
+        carried = {} if track or q.mode == "edges" else self._carried(q, al, need)
         start = q.start
         df = self.scan(start, al[start.alias], need[start.alias], all_of(own.get(start.alias, [])))
         if similar:
@@ -249,7 +251,6 @@ class Compiler:
             near = self.vectors(s.query, s.top).select(F.col("node_id").alias("__near"), F.col("rank").alias(f"{s.alias}__rank"), F.col("score").alias(f"{s.alias}__score"))
             df = df.join(near, node_id(al[start.alias].label, col(start.alias, "k")) == F.col("__near")).drop("__near")
         previous, done = start, []
-        track = bool(q.path) or q.graph or any(s.quantified or s.max_depth > 1 for s in q.steps)
         if track:
             df = df.withColumn("__nodes", F.array(self._gid(al, start.alias))).withColumn("__edges", F.array().cast("array<string>"))
         for s in q.steps:
@@ -258,12 +259,28 @@ class Compiler:
             if s.quantified or s.max_depth > 1 or s.min_depth == 0:
                 df = self.walk(df, previous, s, al, need, where, q, done)
             else:
-                df = self.hop(df, previous, s, al, need, where, q, done, track)
+                df = self.hop(df, previous, s, al, need, where, q, done, track, carried.get(s.alias))
             previous = s.target
         if rest:
             df = df.filter(self.predicate(all_of(rest), lambda r: self.resolve(al, r)))
         return df
 
+    def _carried(self, q: Query, al, need) -> dict[str, str]:
+        """Steps whose edge is a foreign key in the near node's own row: edge alias to the
+        key's column, which then comes along with the near node and needs no join."""
+        out = {}
+        for near, s in zip(q.patterns(), q.steps):
+            sides = [(p, r) for p, r in self._sides(s) if al[near.alias].label == (p.target if r else p.source) and al[s.target.alias].label == (p.source if r else p.target)]
+            if len(sides) != 1 or s.props or need[s.alias] or al[near.alias].label is None:
+                continue
+            part, rev = sides[0]
+            t = self.table(al[near.alias].label)
+            own, far = (part.dst, part.src) if rev else (part.src, part.dst)
+            if part.held_by == ("dst" if rev else "src") and t.df is part.df and own == t.key:
+                need[near.alias].append((far, "__fk"))
+                out[s.alias] = far
+        return out
+
     def _gid(self, al, alias) -> Column:
         label = al[alias].label
         return col(alias, "k") if label is None else node_id(label, col(alias, "k"))
@@ -296,7 +313,7 @@ class Compiler:
             cols.append(c.alias(f"{s.alias}__{ns}.{name}"))
         return df.select(*cols).filter(F.col("__own").isNotNull() & F.col("__other").isNotNull())
 
-    def hop(self, df, previous, s: Step, al, need, where, q, done, track) -> DataFrame:
+    def hop(self, df, previous, s: Step, al, need, where, q, done, track, carried=None) -> DataFrame:
         """One edge: rows join the edge on the near key, then the far nodes on theirs."""
         out = []
         for part, rev in self._sides(s):
@@ -312,7 +329,11 @@ class Compiler:
             own = F.col("__own") if al[previous.alias].label else node_id(near, F.col("__own"))
             t = self.table(far if label is not None else None)
             far_key = F.col("__other") if label is not None else node_id(far, F.col("__other"))
-            if not filters and not need[s.target.alias] and (self.graph.trusted or part.held_by == held):
+            if carried is not None:
+                nodes = self.scan(s.target, _Alias("node", far, far_al.types), need[s.target.alias], where)
+                fk = f"{previous.alias}__" + f"__fk.{carried}"
+                got = df.join(nodes, F.col(f"`{fk}`") == far_key_of(s.target.alias)).drop(fk)
+            elif not filters and not need[s.target.alias] and (self.graph.trusted or part.held_by == held):
                 got = df.join(e, key == own).withColumn(f"{s.target.alias}__k", far_key).drop("__own", "__other")
             elif part.held_by == held and t.df is part.df and not s.props:
                 # the far node's own row has the edge: one join
