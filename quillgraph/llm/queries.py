@@ -31,6 +31,26 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w
+), c AS (SELECT g, min(doc_id) AS id, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY 1),
+e AS (SELECT id, n, unnest(g) AS t FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.t = b.t AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, low) USING KEY (node) AS (
+  SELECT id, id FROM c UNION
+  SELECT u.a, min(r.low) FROM r JOIN u ON u.b = r.node JOIN recurring.r AS o ON o.node = u.a GROUP BY u.a, o.low HAVING min(r.low) < o.low
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.id AS class_id, coalesce(r.low, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON len(s.g) > 0 AND list_sort(s.g) = c.g LEFT JOIN r ON r.node = c.id
+"""
+
+
 @query
 def op9_substring_dedup(spark, sf_dir):
     """Per document: the text that stays, what was cut and whom it repeats."""
