@@ -621,3 +621,29 @@ def explain_plan(spark, sf_dir):
     e = Engine(build(spark, sf_dir))
     plan = e.execute("MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 10 RETURN c.c_custkey AS k ORDER BY c.c_custkey FETCH FIRST 5 ROWS ONLY").explain
     return spark.createDataFrame([(k, str(v)) for k, v in plan.items()], "part string, value string")
+
+
+@query("render_template", "SELECT 'User ' || user_id || ': ' || event_type || ' (' || CASE WHEN event_type = 'error' THEN 'none' ELSE 'v' END || ')' AS line FROM events")
+def render_template(spark, sf_dir):
+    from .operators.actions import render
+
+    e = read(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("changed"), F.when(F.col("event_type") != "error", "v").alias("old.mark"))
+    return e.select(render("User {{changed.user_id}}: {{ changed.event_type }} ({{old.mark}})", e, "none").alias("line"))
+
+
+@query("update_changed", "SELECT o_orderkey AS k FROM orders WHERE o_custkey % 4 = 0 AND o_orderstatus <> 'F'")
+def update_changed(spark, sf_dir):
+    from .operators.actions import update_changed as update
+
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return update(o, o.filter("o_custkey % 4 = 0").select("o_orderkey", F.lit("F").alias("o_orderstatus")), "o_orderkey")[1].select(F.col("o_orderkey").alias("k"))
+
+
+@query("upsert_edges", "SELECT o_custkey AS src, o_orderkey AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS w FROM orders UNION ALL SELECT 0, 0, 2")
+def upsert_edges(spark, sf_dir):
+    from .operators.actions import upsert_edges as upsert
+
+    o = read(spark, sf_dir, "orders")
+    e = o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("PLACED").alias("label"), F.col("o_orderkey").cast("string").alias("edge_id"), F.lit(1).alias("w"))
+    want = e.filter("dst % 2 = 0").select("src", "dst", "label", F.lit(2).alias("w")).unionByName(spark.sql("SELECT 0L AS src, 0L AS dst, 'PLACED' AS label, 2 AS w"))
+    return upsert(e, want).select("src", "dst", "w")
