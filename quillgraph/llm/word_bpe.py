@@ -8,8 +8,10 @@ pieces, by one space as the library does without a decoder.
 Documents are grouped into chunks of about CHUNK_BYTES of text, so that a word crosses the
 network once per chunk that has it, not once per place: a chunk's distinct words, packed
 by hash of the word, go to the word table and their ids come back to the chunk. A word
-that every text holds is so one entry per chunk. The chunks are written to the shared
-folder (compressed) and read once for their words and once for their texts.
+that every text holds is so one entry per chunk. Documents are read twice, once for their
+words and once for their texts, and a chunk is known by a digest of its documents, so the
+two readings needn't deal rows alike: a chunk that finds no ids under its digest (its
+source gave other rows the second time) has its own words encoded on the spot.
 
 Null texts count as empty: no ids, empty decoded text. Repeated rows each get their row;
 a null doc_id stays null. An empty table gives no rows; other columns are ignored.
@@ -25,11 +27,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, small_batches
+from ._shared import small_batches
 from .byte_bpe import library
 
 VOCABULARY = "word_bpe_49k.json"
@@ -63,36 +64,66 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
+def _ids(vocabulary: str, words: list[bytes]) -> list[list[int]]:
+    got = library(vocabulary).encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
+    return [e.ids for e in got]
+
+
+def _parted(texts: list[str], parts: int) -> list[list[bytes]]:
+    """The distinct words of texts, sorted, by part of the word table."""
+    words: set[str] = set()
+    for t in texts:
+        words.update(words_of(t))
+    out: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in words:
+        raw = w.encode("utf-8", "surrogatepass")
+        out[zlib.crc32(raw) % parts].append(raw)
+    return [sorted(p) for p in out]
+
+
+def _answer(ids: list[list[int]]) -> bytes:
+    counts, flat = np.array([len(x) for x in ids], "<u4"), np.array([i for x in ids for i in x], "<u4")
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(ids)) + counts.tobytes() + (flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat).tobytes())
+
+
+def _read_answer(blob: bytes) -> list[list[int]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<I", raw)
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)).tolist()
+    body = raw[4 + 4 * n :]
+    flat = np.frombuffer(body, "<u2" if ends and len(body) == 2 * ends[-1] else "<u4").tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _chunks(parts: int):
-    """(chunk, part, blob): part -1 holds the chunk's documents, the others its distinct
-    words by hash."""
-
-    def emit(chunk, ids, texts, words):
-        split: list[list[bytes]] = [[] for _ in range(parts)]
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            split[zlib.crc32(raw) % parts].append(raw)
+    """With parts, (chunk, part, blob): a chunk's distinct words by hash. With 0, its
+    documents as part -1."""
+
+    def emit(ids, texts):
         keys = [b"" if i is None else struct.pack("<q", i) for i in ids]
-        blobs = [_pack(keys + [t.encode("utf-8", "surrogatepass") for t in texts])] + [_pack(sorted(p)) for p in split]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        digest = hashlib.blake2b(digest_size=16)
+        for x in [*keys, *raw]:
+            digest.update(struct.pack("<I", len(x)))
+            digest.update(x)
+        blobs = [_pack(p) for p in _parted(texts, parts)] if parts else [_pack(keys + raw)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk] * len(blobs), pa.int64()), pa.array(range(-1, parts), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "blob"]
+            [pa.array([digest.digest()] * len(blobs), pa.binary()), pa.array(range(parts) if parts else [-1], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "blob"]
         )
 
     def run(batches):
-        chunk = TaskContext.get().partitionId() << 24
-        ids, texts, words, size = [], [], set(), 0
+        ids, texts, size = [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = text or ""
                 ids.append(doc)
                 texts.append(text)
-                words.update(words_of(text))
                 size += len(text)
                 if size >= CHUNK_BYTES:
-                    yield emit(chunk, ids, texts, words)
-                    chunk, ids, texts, words, size = chunk + 1, [], [], set(), 0
+                    yield emit(ids, texts)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield emit(chunk, ids, texts, words)
+            yield emit(ids, texts)
 
     return run
 
@@ -102,30 +133,39 @@ def _word_table(vocabulary: str):
     encoded once; every chunk's answer has the ids in the order of its words."""
 
     def run(tbl: pa.Table) -> pa.Table:
-        tok = library(vocabulary)
         asked = [(c, _unpack(b)) for c, b in zip(tbl.column("chunk").to_pylist(), tbl.column("blob").to_pylist())]
         distinct = sorted({w for _, ws in asked for w in ws})
-        ids: dict[bytes, bytes] = {}
+        ids: dict[bytes, list[int]] = {}
         for i in range(0, len(distinct), WORD_BATCH):
             some = distinct[i : i + WORD_BATCH]
-            for w, e in zip(some, tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
+            ids.update(zip(some, _ids(vocabulary, some)))
         part = tbl.column("part")[0].as_py()
         return pa.table(
             {
-                "chunk": pa.array([c for c, _ in asked], pa.int64()),
+                "chunk": pa.array([c for c, _ in asked], pa.binary()),
                 "part": pa.array([part] * len(asked), pa.int32()),
-                "answer": pa.array([_pack([ids[w] for w in ws]) for _, ws in asked], pa.binary()),
+                "answer": pa.array([_answer([ids[w] for w in ws]) for _, ws in asked], pa.binary()),
             }
         )
 
     return run
 
 
-def _join_back(vocabulary: str, full: bool):
+def _join_back(vocabulary: str, parts: int, full: bool):
     """A chunk with its words and their ids: rows of documents, ids in place; ``full`` with
     ids and decoded texts themselves, else with their digests."""
 
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+
+    def fill(out, keys, texts, number):
+        for doc, text in zip(keys, texts):
+            got = [number[w] for w in words_of(text) if w in number]
+            ids, decoded = b" ".join([g[1] for g in got]), b" ".join([g[2] for g in got])
+            out["doc_id"].append(struct.unpack("<q", doc)[0] if doc else None)
+            out["n_tokens"].append(sum([g[0] for g in got]))
+            out["ids"].append([int(i) for i in ids.split()] if full else digest(ids))
+            out["decoded"].append(decoded.decode("utf-8", "surrogatepass") if full else digest(decoded))
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         tok = library(vocabulary)
         piece: dict[int, bytes] = {}  # the id-to-piece table, as far as it is used
@@ -137,28 +177,18 @@ def _join_back(vocabulary: str, full: bool):
             return b" ".join([piece[i] for i in ids])
 
         answers = dict(zip(right.column("part").to_pylist(), right.column("answer").to_pylist()))
-        number: dict[bytes, tuple[int, bytes, bytes]] = {}
-        docs = b""
-        for part, blob in zip(left.column("part").to_pylist(), left.column("blob").to_pylist()):
-            if part < 0:
-                docs = blob
-                continue
-            for w, raw in zip(_unpack(blob), _unpack(answers[part])):
-                ids = np.frombuffer(raw, "<u4").tolist()
-                if ids:
-                    number[w.decode("utf-8", "surrogatepass")] = len(ids), " ".join(map(str, ids)).encode(), pieces(ids)
-        items = _unpack(docs)
-        half = len(items) // 2
-        digest = lambda raw: hashlib.sha256(raw).hexdigest()
-        ids_of = lambda raw: [int(i) for i in raw.split()]
         out = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
-        for doc, raw in zip(items[:half], items[half:]):
-            got = [number[w] for w in words_of(raw.decode("utf-8", "surrogatepass")) if w in number]
-            ids, text = b" ".join([g[1] for g in got]), b" ".join([g[2] for g in got])
-            out["doc_id"].append(struct.unpack("<q", doc)[0] if doc else None)
-            out["n_tokens"].append(sum([g[0] for g in got]))
-            out["ids"].append(ids_of(ids) if full else digest(ids))
-            out["decoded"].append(text.decode("utf-8", "surrogatepass") if full else digest(text))
+        for blob in left.column("blob").to_pylist():
+            items = _unpack(blob)
+            half = len(items) // 2
+            texts = [raw.decode("utf-8", "surrogatepass") for raw in items[half:]]
+            number: dict[str, tuple[int, bytes, bytes]] = {}
+            for part, words in enumerate(_parted(texts, parts)):
+                got = _read_answer(answers[part]) if part in answers else _ids(vocabulary, words)
+                for w, ids in zip(words, got):
+                    if ids:
+                        number[w.decode("utf-8", "surrogatepass")] = len(ids), " ".join(map(str, ids)).encode(), pieces(ids)
+            fill(out, items[:half], texts, number)
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()) if full else pa.string(), pa.string()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
@@ -173,8 +203,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, full: bool = True) ->
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(8, int(size) // (4 * CHUNK_BYTES))
-    with Scratch(spark, "word-bpe") as s:
-        chunks = s.write(d.mapInArrow(_chunks(parts), "chunk long, part int, blob binary"), "chunks")
-        answers = s.write(chunks.filter("part >= 0").groupBy("part").applyInArrow(_word_table(vocabulary), "chunk long, part int, answer binary"), "ids")
-        done = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join_back(vocabulary, full), f"doc_id long, n_tokens long, ids {'array<int>' if full else 'string'}, decoded string")
-        return s.keep(s.write(done, "result"))
+    kinds = "chunk binary, part int, blob binary"
+    asked = d.mapInArrow(_chunks(parts), kinds)
+    answers = asked.groupBy("part").applyInArrow(_word_table(vocabulary), "chunk binary, part int, answer binary")
+    texts = d.mapInArrow(_chunks(0), kinds)
+    done = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _join_back(vocabulary, parts, full), f"doc_id long, n_tokens long, ids {'array<int>' if full else 'string'}, decoded string"
+    )
+    return done
