@@ -33,7 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, small_batches
@@ -44,6 +44,9 @@ WORDS, NUM, DEN = 5, 80, 100
 CELLS, CHUNKS = 1 << 22, 64
 #: A column with more rows than this isn't multiplied out.
 LIST = 8
+#: Columns that a row remembers when pairs of such columns are made: a pair that shares one
+#: of them has been made there. Beyond them a pair may come again, and is counted once.
+BEFORE = 32
 #: Entries of the product's operand per block, on average.
 BLOCK_ENTRIES = 500_000
 #: Entries gathered in a task before they are packed by block.
@@ -279,11 +282,14 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
         cold = out.filter("NOT hot").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(a_of, "a").join(b_of, "b")
         cold = cold.filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
-        # Columns of many rows: a hub of like size for each, then one pair per row and hub.
+        # Columns of many rows: hubs of like size for each, then one pair per row and hub. The hub
+        # is the row that has the column first: the fewer rare columns a row has of its own, the
+        # more rows it is like.
         hot = out.filter("hot").select("column", "a", "n", "pos").join(a_of, "a").groupBy("column", F.col("ca").alias("row")).agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
         hot = s.write(hot.withColumn("bucket", F.floor(F.log("n") / F.log(F.lit(den / num)))), "hot")
-        hubs = hot.groupBy("column", "bucket").agg(F.min(F.struct(F.xxhash64("row"), F.col("row").alias("hub"), F.col("n").alias("hn"))).alias("x")).select("column", "bucket", "x.hub", "x.hn")
-        star = hot.join(hubs, ["column", "bucket"]).filter((F.col("row") != F.col("hub")) & _like_size("n", "hn", num, den)).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
+        hubs = hot.groupBy("column", "bucket").agg(F.min(F.struct("pos", F.xxhash64("row"), F.col("row").alias("hub"), F.col("n").alias("hn"))).alias("x")).select("column", "bucket", "x.hub", "x.hn")
+        near = hot.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") - 1)))
+        star = near.join(hubs, ["column", "bucket"]).filter((F.col("row") != F.col("hub")) & _like_size("n", "hn", num, den)).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
         pairs = s.write(cold.unionByName(star).distinct(), "pairs")
         links = _verified(d, pairs, s, words, num, den)
 
@@ -291,13 +297,15 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
         label = components(links, s)
         at = hot.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("c", F.coalesce("component", "row")).drop("component", "bucket")
         split = at.groupBy("column").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("column")
-        at = s.write(at.join(split, "column", "left_semi"), "split")
+        # A pair is made at the first column it shares: a row knows its columns just before.
+        before = Window.partitionBy("row").orderBy("pos", "column").rowsBetween(-BEFORE, -1)
+        at = s.write(at.join(split, "column", "left_semi").withColumn("before", F.collect_list("column").over(before)), "split")
         if not at.isEmpty():
             most = at.groupBy("column", "c").count().groupBy("column").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-            few = at.join(most, "column").filter("c <> most").select("column", F.col("row").alias("r2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("c").alias("c2"))
+            few = at.join(most, "column").filter("c <> most").select("column", F.col("row").alias("r2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("c").alias("c2"), F.col("before").alias("before2"), "most")
             need = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
             owed = at.join(few, "column").filter(
-                (F.col("c") != F.col("c2")) & _like_size("n", "n2", num, den) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("p2")) >= need)
+                (F.col("c") != F.col("c2")) & ((F.col("c") == F.col("most")) | (F.col("row") < F.col("r2"))) & ~F.arrays_overlap("before", "before2") & _like_size("n", "n2", num, den) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("p2")) >= need)
             )
             owed = owed.select(F.least("row", "r2").alias("a"), F.greatest("row", "r2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
             more = _verified(d, s.write(owed, "owed"), s, words, num, den)
