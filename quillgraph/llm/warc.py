@@ -260,10 +260,7 @@ def read(files: DataFrame, name_col: str = "archive", payloads: bool = True, str
                 if rows:
                     yield batch(rows)
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = files.sparkSession
-    if int(spark.conf.get(key, "10000")) > 4:
-        spark.conf.set(key, "4")  # archives are large: a batch holds few
+    small_batches(files.sparkSession)
     return files.select(F.col(name_col).alias("archive"), "content").mapInArrow(run, _READ)
 
 
