@@ -40,6 +40,7 @@ class Block:
         self.ids, self.x = ids, x
         self.order = np.argsort(x, axis=0, kind="stable")  # ascending, list by list
         self.values = np.take_along_axis(x, self.order, axis=0)
+        self.repeats = len(np.unique(ids)) < len(ids)
 
     def search(self, own: int, q: np.ndarray, best: list[tuple[int, int]], k: int) -> tuple[list[tuple[int, int]], int]:
         """The k best of ``best`` and the block, as (score, vec_id); rows read per list."""
@@ -65,6 +66,11 @@ class Block:
                     score, ids = score[ok], ids[ok]
                 keep = ids != own
                 score, ids = score[keep], ids[keep]
+                if self.repeats and len(score) > 4 * k:  # rows of one vec_id count once in the cut
+                    order = np.lexsort((-score, ids))
+                    score, ids = score[order], ids[order]
+                    first = np.append(True, ids[1:] != ids[:-1])
+                    score, ids = score[first], ids[first]
                 if len(score) > 4 * k:
                     cut = np.partition(score, len(score) - k)[len(score) - k]
                     ties = score >= cut

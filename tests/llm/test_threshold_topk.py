@@ -48,3 +48,15 @@ def test_stops_early_where_the_bound_allows():
 def test_empty_and_fewer_than_k(spark):
     assert run(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (None, [1.0, 1.0])]) == [(0, 1, 1, 256 * 128)]
     assert run(spark, []) == []
+
+
+def test_one_vec_id_repeated_on_top_hides_no_other():
+    """Thirty rows of one vec_id score best; the 2nd to 5th results are read in the same step."""
+    rng = np.random.default_rng(5)
+    q = np.full(8, 200)
+    good = np.full((8, 8), 240) + np.diag(np.arange(60, 68))
+    x = np.vstack([np.full((30, 8), 250), good, rng.integers(-200, 200, (400, 8))])
+    ids = np.array([7] * 30 + list(range(1000, 1408)))
+    want = sorted({i: s for i, s in sorted(zip(ids.tolist(), (x @ q).tolist()), key=lambda r: r[1])}.items(), key=lambda r: (-r[1], r[0]))[:5]
+    best, _ = tk.Block(ids, x).search(-1, q, [], 5)
+    assert [(i, s) for s, i in best] == want
