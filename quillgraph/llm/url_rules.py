@@ -7,8 +7,9 @@ confidence suffice and that no shorter rule with at least their confidence impli
 A URL without a listed rule takes the verdict of its best mined rule (confidence, then
 support, then the smaller set, then block before allow), or ``default`` where none fits.
 
-Rules are matched by an inverted index: token to rules; a rule fits where as many of a
-URL's distinct tokens point to it as it has. Support bounds how many rules there are, not
+Rules are matched by an inverted index: token to rules; a rule fits where a URL's tokens
+point to each of its items. Tokens that stand in the same labelled rows have the same
+rules: each of them alone makes a rule, and in a larger set any of them will do. Support bounds how many rules there are, not
 the table's size; they are broadcast only while their number is checked to be small.
 
 Null URLs and URLs without ``://`` have empty host and path and no tokens. Repeated rows
@@ -18,6 +19,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +79,17 @@ def named_by(rules) -> list[str]:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, items, verdict, support, confidence) from (tokens, verdict) rows.
-
-    Tokens rarer than the support can be in no rule and are taken out first; what is left
-    of a URL is at most 1/min_support kinds in all. Tokens that always stand together are
-    one item, so a set's size counts what tells URLs apart.
+    """Rules (rule_id, items, members, verdict, support, confidence) from (tokens, verdict) rows.
+
+    ``min_support`` is a share of the rows below 1 and a number of rows from 1 on. Tokens
+    rarer than that can be in no rule. Rules of one token are read off its counts, one for
+    every token. A set with a token of one verdict only is implied by that token, so
+    FP-growth gets the others; of these, tokens that always stand together are mined as
+    one item, named after the smallest, and ``members`` has, for each item of a rule, all
+    tokens that stand for it.
     """
     spark = labelled.sparkSession
-    schema = "rule_id long, items array<string>, verdict string, support double, confidence double"
+    schema = "rule_id long, items array<string>, members array<array<string>>, verdict string, support double, confidence double"
     total = labelled.count()
     if not total:
         return spark.createDataFrame([], schema)
@@ -92,12 +98,20 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         rows = s.write(rows, "labelled")
         each = rows.select("row", "verdict", F.explode("tokens").alias("token"))
         counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows"))
-        common = counts.filter(F.col("n") >= min_support * total)
+        common = s.write(counts.filter(F.col("n") >= (min_support if min_support >= 1 else min_support * total)), "common")
+        mixed = common.filter("blocked > 0 AND blocked < n")
         # Tokens of exactly the same rows are one item, named after the smallest.
-        one = common.groupBy("n", "blocked", "rows").agg(F.min("token").alias("token")).select("token")
-        basket = each.join(one, "token").groupBy("row", "verdict").agg(F.collect_set("token").alias("items"))
+        one = s.write(mixed.groupBy("n", "blocked", "rows").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("members")).select("token", "members"), "items")
+        held = each.join(common.select("token"), "token").join(one.select("token", F.col("token").alias("item")), "token", "left")
+        basket = held.groupBy("row", "verdict").agg(F.collect_set("item").alias("items"))
         basket = s.write(basket.select(F.concat(F.col("items"), F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items")), "baskets")
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
+        having = basket.count()
+        need = math.ceil(min_support if min_support >= 1 else min_support * having)
+        by = [F.struct(F.lit(v).alias("verdict"), F.col(n).alias("n")) for v, n in (("block", "blocked"), ("allow", "allowed"))]
+        single = common.withColumn("allowed", F.col("n") - F.col("blocked")).select("token", F.col("n").alias("all"), F.inline(F.array(*by)))
+        single = single.filter((F.col("n") >= need) & (F.col("n") / F.col("all") >= min_confidence))
+        single = single.select(F.array("token").alias("items"), F.array(F.array("token")).alias("members"), "verdict", (F.col("n") / having).alias("support"), (F.col("n") / F.col("all")).alias("confidence"))
+        model = FPGrowth(itemsCol="items", minSupport=max(need - 0.5, 0.0) / max(having, 1), minConfidence=min_confidence).fit(basket)
         found = model.associationRules.filter(F.startswith(F.element_at("consequent", 1), F.lit("verdict=")))
         found = found.filter((F.size("antecedent") <= LONGEST_RULE) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("verdict="))))
         found = s.write(
@@ -112,17 +126,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
             .select(F.col("a.items").alias("items"), F.col("a.verdict").alias("verdict"))
             .distinct()
         )
-        kept = found.join(implied, ["items", "verdict"], "left_anti")
-        kept = kept.withColumn("rule_id", F.xxhash64("items", "verdict")).select("rule_id", "items", "verdict", "support", "confidence")
+        sets = found.filter(F.size("items") > 1).join(implied, ["items", "verdict"], "left_anti")
+        members = sets.select("items", "verdict", F.explode("items").alias("token")).join(one, "token").groupBy("items", "verdict").agg(F.collect_list("members").alias("members"))
+        kept = single.unionByName(sets.join(members, ["items", "verdict"]))
+        kept = kept.withColumn("rule_id", F.xxhash64("items", "verdict")).select("rule_id", "items", "members", "verdict", "support", "confidence")
         return s.keep(s.write(kept, "rules"))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, verdict, rule_id): the best mined rule of each (key, tokens) row that has one."""
+    """(key, verdict, rule_id): the best mined rule of each (key, tokens) row that has one.
+    A rule fits where a URL has a member of each of its items (without ``members``: the items)."""
     few = rules.count() <= BROADCAST_RULES
-    index = rules.select("rule_id", F.size("items").alias("need"), "verdict", "support", "confidence", F.explode("items").alias("token"))
+    members = F.col("members") if "members" in rules.columns else F.transform("items", lambda x: F.array(x))
+    index = rules.select("rule_id", F.size("items").alias("need"), "verdict", "support", "confidence", F.posexplode(members).alias("item", "member"))
+    index = index.withColumn("token", F.explode("member")).drop("member")
     hits = urls.select("key", F.explode("tokens").alias("token")).join(F.broadcast(index) if few else index, "token")
-    fits = hits.groupBy("key", "rule_id", "need", "verdict", "support", "confidence").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
+    fits = hits.groupBy("key", "rule_id", "need", "verdict", "support", "confidence").agg(F.size(F.collect_set("item")).alias("n")).filter("n = need")
     best = F.max(F.struct("confidence", "support", (-F.col("need")).alias("short"), "verdict", "rule_id"))
     return fits.groupBy("key").agg(best.alias("best")).select("key", F.col("best.verdict").alias("verdict"), F.col("best.rule_id").alias("rule_id"))
 

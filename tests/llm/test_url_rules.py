@@ -71,3 +71,14 @@ def test_empty_clashing_and_nothing_to_mine(spark):
     rows = [(1, "http://x.dev/a", "h", 1), (1, "http://x.dev/a", None, None), (None, None, "h", 1)]
     out = ur.judge(spark.createDataFrame(rows, schema)).collect()
     assert len(out) == 3 and {r.verdict for r in out} == {"allow"}
+
+
+def test_every_token_of_the_same_rows_keeps_its_rules(spark):
+    """host:casino always stands with end:casino.net; an open URL may have only the host."""
+    urls = [f"http://casino.net/p{i}" for i in range(30)] + [f"http://n{i}.org/fr/q{i}" for i in range(30)] + ["http://casino.com/z"]
+    got = {r.page_id: r for r in ur.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got[60].rule is None and got[60].verdict == "block" and got[60].mined_rule is not None
+    rows = [(["a1", "a2", "b"], "block")] * 20 + [(["a1", "a2"], "allow")] * 20 + [(["b"], "allow")] * 20
+    rules = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    keys = spark.createDataFrame([("x", ["a2", "b"]), ("y", ["a1", "a2"]), ("z", ["a1", "a2", "b"])], "key string, tokens array<string>")
+    assert {r.key: r.verdict for r in ur.match(keys, rules).collect()} == {"x": "block", "z": "block"}
