@@ -9,8 +9,9 @@ support, then the smaller set, then block before allow), or ``default`` where no
 
 Rules are matched by an inverted index: token to rules; a rule fits where a URL's tokens
 point to each of its items. Tokens that stand in the same labelled rows have the same
-rules: each of them alone makes a rule, and in a larger set any of them will do. Support bounds how many rules there are, not
-the table's size; they are broadcast only while their number is checked to be small.
+rules: each of them alone makes a rule, and in a larger set any of them will do. The
+support is a small number of rows, so rules grow with the table; they are broadcast only
+while their number is checked to be small.
 
 Null URLs and URLs without ``://`` have empty host and path and no tokens. Repeated rows
 each get their row. Where no URL is decided by a listed rule nothing is mined. An empty
@@ -29,9 +30,9 @@ from ._shared import Scratch
 
 #: (host, path prefix, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.01, 0.8, "allow"
-#: Tokens of one URL that take part in mining; matching looks at all of them.
-LONGEST_RULE, BROADCAST_RULES = 4, 100_000
+#: A token set seen in two labelled URLs can make a rule, at any size of the table.
+MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 2, 0.8, "allow"
+BROADCAST_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,7 +114,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         single = single.select(F.array("token").alias("items"), F.array(F.array("token")).alias("members"), "verdict", (F.col("n") / having).alias("support"), (F.col("n") / F.col("all")).alias("confidence"))
         model = FPGrowth(itemsCol="items", minSupport=max(need - 0.5, 0.0) / max(having, 1), minConfidence=min_confidence).fit(basket)
         found = model.associationRules.filter(F.startswith(F.element_at("consequent", 1), F.lit("verdict=")))
-        found = found.filter((F.size("antecedent") <= LONGEST_RULE) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("verdict="))))
+        found = found.filter(~F.exists("antecedent", lambda x: F.startswith(x, F.lit("verdict="))))
         found = s.write(
             found.select(F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), 9, 9).alias("verdict"), "support", "confidence"), "found"
         )

@@ -82,3 +82,14 @@ def test_every_token_of_the_same_rows_keeps_its_rules(spark):
     rules = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
     keys = spark.createDataFrame([("x", ["a2", "b"]), ("y", ["a1", "a2"]), ("z", ["a1", "a2", "b"])], "key string, tokens array<string>")
     assert {r.key: r.verdict for r in ur.match(keys, rules).collect()} == {"x": "block", "z": "block"}
+
+
+def test_rare_hosts_and_long_sets_make_rules(spark):
+    """Three rows of a host among a thousand are enough, and a set may have five items."""
+    urls = [f"http://n{i}.org/fr/q{i}" for i in range(1000)] + [f"http://s{i}.free-bets.net/p{i}" for i in range(3)] + ["http://free-bets.com/z"]
+    got = {r.page_id: r for r in ur.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got[1003].rule is None and got[1003].verdict == "block"
+    names = list("abcde")
+    rows = [(names, "block")] * 20 + [([x for x in names if x != gone], "allow") for gone in names] * 30
+    rules = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8).collect()
+    assert (names, "block") in [(r["items"], r.verdict) for r in rules]
