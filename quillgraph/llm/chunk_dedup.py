@@ -1,8 +1,9 @@
 """Substring dedup: content-defined chunks, cut by a gear rolling hash.
 
 A gear hash rolls over a text's bytes; a chunk ends at a white-space byte whose hash is
-divisible by ``every``, so about every fifth word. (Within unbroken runs a stricter test
-cuts at any character's end.) The hash covers the last 16 bytes, so chunks depend on
+divisible by ``every``, so about every fifth word. Within unbroken runs, that is where the
+hash's window holds no white space, a chunk ends after a non-ASCII character whose hash is
+divisible by RUN_EVERY; a far stricter test cuts at any character's end. The hash covers the last 16 bytes, so chunks depend on
 nearby text alone: an insertion moves no boundary beyond its own neighbourhood. Chunks
 with equal 128-bit digests are copies; the first in order of (doc_id, place) stays. Copies
 are cut out where they follow each other over at least ``min_words`` words, so short
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, small_batches
 
 EVERY, MIN_WORDS = 5, 12
+#: Characters per chunk, on average, in scripts without spaces.
+RUN_EVERY = 11
 #: Chunks per block, on average.
 BLOCK_CHUNKS = 1_000_000
 FLUSH = 1_000_000
@@ -56,6 +59,10 @@ def chunk_ends(data: bytes, every: int = EVERY) -> np.ndarray:
         h[j:] += g[:-j] << np.uint16(j)
     whole = np.append((a[1:] & 0xC0) != 0x80, True)
     cut = (_SPACE[a] & (h % every == 0)) | (whole & (h % 509 == 0))
+    far = np.flatnonzero(whole & (a >= 0x80) & (h % RUN_EVERY == 0))
+    if len(far):
+        spaces = np.concatenate([[0], np.cumsum(_SPACE[a])])
+        cut[far[spaces[far + 1] == spaces[np.maximum(far - 15, 0)]]] = True
     cut[-1] = True
     return np.flatnonzero(cut) + 1
 

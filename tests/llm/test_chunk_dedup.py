@@ -65,3 +65,15 @@ def test_clashing_columns_repeats_and_empty(spark):
     one = [x.r.text for x in out if x.r.doc_id == 1]
     assert len(out) == 4 and one[0] == one[1] != "" and [x.r.text for x in out if x.r.doc_id is None] == [""]
     assert cd.dedup(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_one_shared_passage_without_spaces_goes(spark):
+    rng = random.Random(8)
+    for low, high in ((0x4E00, 0x9FA5), (0x3041, 0x3094), (0x0E01, 0x0E2F)):
+        run = lambda n: "".join(chr(rng.randrange(low, high)) for _ in range(n))
+        passage = run(120)
+        rows = [(i, run(300) + passage + run(300)) for i in range(6)]
+        got = {r.r.doc_id: r.r.text for r in cd.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[0] == rows[0][1]
+        for i, text in rows[1:]:
+            assert passage[40:80] not in got[i] and got[i].startswith(text[:300]) and got[i].endswith(text[-300:])
