@@ -506,12 +506,11 @@ def export_import(spark, sf_dir):
     from .sources.domains import export_domain, import_domain
 
     g = build(spark, sf_dir)
-    small = Graph({k: g.nodes[k] for k in ("Region", "Nation")}, {"IN_REGION": g.edges["IN_REGION"]})
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
     import uuid
 
     path = f"{root.rstrip('/')}/export-{uuid.uuid4().hex}"
-    export_domain(small, path)
+    export_domain(g, path)
     return Engine(import_domain(spark, path)).rows("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS nation, r.r_name AS region")
 
 

@@ -57,3 +57,18 @@ def test_snapshot_and_context(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_export_import_holds_the_whole_graph(spark, monkeypatch):
+    from quillgraph import registry
+    from quillgraph.queries_more import build
+    from quillgraph.sources import domains
+
+    read, sf_dir = [], "/root/testdata/sf0.001"
+    take = domains.import_domain
+    monkeypatch.setattr(domains, "import_domain", lambda *a: read.append(take(*a)) or read[0])
+    assert registry.QUERIES["export_import"](spark, sf_dir).count()
+    g = build(spark, sf_dir)
+    assert {k: t.df.count() for k, t in read[0].nodes.items()} == {k: t.df.count() for k, t in g.nodes.items()}
+    held = lambda g: {k: [(p.source, p.target, p.df.filter(F.col(p.src).isNotNull() & F.col(p.dst).isNotNull()).count()) for p in parts] for k, parts in g.edges.items()}
+    assert held(read[0]) == held(g)
