@@ -6,12 +6,18 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes per Arrow batch: texts may be long, so a bound on rows alone doesn't bound memory.
 BATCH_BYTES = 4 << 20
 
 
+#: Bits of the filter that tells rows that may be among some ids from all others: 64 to a
+#: row of the table that is broadcast.
+SIFT_BITS = 1 << 25
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,17 +31,49 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, one of our own in local mode;
+    on a cluster an error, as executors could not see it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))  # driver and executors are one process
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
 
 
+def sifted(df: DataFrame, key: str, ids: Column, of: DataFrame) -> DataFrame:
+    """Adds maybe: false where a row's ``key`` is surely none of the ids (longs) of a frame.
+
+    Others may pass for one of them, the more the fuller the filter: a join decides. The
+    filter has SIFT_BITS bits whatever the tables' size, and so is broadcast."""
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(SIFT_BITS))
+    bits = of.select(place(ids).alias("__p")).groupBy(F.shiftright("__p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(__p & 63 AS INT))")).alias("__bits"))
+    both = df.withColumn("__p", place(F.col(key))).join(F.broadcast(bits), F.shiftright("__p", 6) == F.col("__word"), "left")
+    return both.withColumn("maybe", F.coalesce(F.expr("(shiftrightunsigned(__bits, CAST(__p & 63 AS INT)) & 1) = 1"), F.lit(False))).drop("__p", "__word", "__bits")
+
+
+#: Kept tables of this process: results that callers still read.
+_kept: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables behind all results returned so far; how many there were. Frames that
+    read them, and what is yet to be computed from those, can't be used any more."""
+    n = len(_kept)
+    while _kept:
+        _delete(spark, _kept.pop())
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder; all go when the block ends but those kept.
 
@@ -59,22 +97,19 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path and self.paths.pop(path, None):
-            self._delete(path)
+            _delete(self.spark, path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Exempt a written table from the clean-up; its files stay for its readers."""
-        self.paths.pop(df._scratch_path, None)
+        """Exempt a written table from the clean-up; its files stay for its readers, until
+        ``clean_up``."""
+        if self.paths.pop(df._scratch_path, None):
+            _kept.append(df._scratch_path)
         return df
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def __enter__(self):
         return self
 
     def __exit__(self, *exc):
         for path in list(self.paths):
-            self._delete(path)
+            _delete(self.spark, path)
         self.paths.clear()
