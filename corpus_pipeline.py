@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import chunk_dedup, ngram_join, packing, toxicity
-from quillgraph.llm._shared import Scratch, table
+from quillgraph.llm._shared import Scratch, sifted, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +23,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of the 5-gram Jaccard join at 0.8, its smallest doc_id."""
-    joined = ngram_join.join(docs)
-    ids = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("group"), F.count(F.lit(1)).alias("rows"))
-    gone = ids.filter("group <> doc_id").select("doc_id")
-    again = ids.filter("group = doc_id AND rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.xxhash64("text")))
-    one = kept.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    joined = ngram_join.join(docs).filter("doc_id IS NOT NULL")
+    ids = joined.groupBy("doc_id").agg(F.min("component_id").alias("group"), F.count(F.lit(1)).alias("rows"))
+    odd = ids.filter("group <> doc_id OR rows > 1")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("k"))
+    # Only rows whose doc_id may be odd are shuffled; a null doc_id is none.
+    rows = sifted(rows, "k", F.col("doc_id"), odd)
+    asked = rows.filter("maybe").join(odd, F.col("k") == F.col("doc_id"), "left").filter("group IS NULL OR group = k")
+    kept = rows.filter("NOT maybe").select("r").unionByName(asked.filter("rows IS NULL OR rows = 1").select("r"))
+    if not odd.filter("group = doc_id").isEmpty():  # then rows = 1 for none of these
+        w = Window.partitionBy("k").orderBy(F.desc(F.xxhash64("r.text")))
+        kept = kept.unionByName(asked.filter("rows > 1").withColumn("n", F.row_number().over(w)).filter("n = 1").select("r"))
+    return kept.select("r.*")
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +55,13 @@ STAGES = [("toxicity", toxicity_stage), ("ngram_jaccard_join", near_copies_stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    s = Scratch(spark, "pipeline")
-    for name, stage in STAGES:
-        made = s.write(stage(spark, docs, sf_dir), name)
-        s.drop(docs)
-        docs = made
-    return s.keep(docs)
+    with Scratch(spark, "pipeline") as s:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            made = s.write(stage(spark, docs, sf_dir), name)
+            s.drop(docs)
+            docs = made
+        return s.keep(docs)
 
 
 #: Three of the stages hash or train; tests hold the pipeline against brute force instead.
