@@ -14,18 +14,23 @@ an empty and a nonempty one not (0). Anchors also come with their place, which l
 passages be matched by position.
 
 Null texts count as empty. Equal texts have equal fingerprints. Repeated rows each get
-their row. doc_ids order the documents, nulls last; rows with one doc_id go by their
-text's hash, descending. An empty table gives no rows; other columns are ignored.
+their row. doc_ids order the documents, nulls last; rows with one doc_id (or none) go by
+their text's hash, descending. Neighbours are sought in ranges of about as many rows each:
+ranges lie between quantiles of doc_id, and a doc_id with more rows than a range, null among
+them, is split between quantiles of the hash, equal texts by turns. An empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, KEPT = 4, 64
-#: Rows per bucket of doc_ids when neighbours are sought.
-BUCKET_ROWS = 20_000
+#: Rows per range of doc_ids when neighbours are sought, and ranges at most (then larger).
+BUCKET_ROWS, BUCKETS = 8_000, 1 << 14
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _TOKEN = rf"[{_ALONE}]|[^\s{_ALONE}]{{1,16}}+"
 
@@ -84,30 +89,55 @@ def matches(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, lambda x: F.transform(hit(x), lambda y: F.struct(x["place"].alias("place"), y["place"].alias("other")))))
 
 
+def _below(bounds: list[int], x: Column) -> Column:
+    """How many of some ascending numbers are below a column, sought in two steps."""
+    width = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    if not parts:
+        return F.lit(0)
+    ends = F.from_json(F.lit(json.dumps([p[-1] for p in parts])), "array<long>")
+    inside = F.from_json(F.lit(json.dumps(parts)), "array<array<long>>")
+    before = F.size(F.filter(ends, lambda y: y < x))
+    return F.when(before >= len(parts), len(bounds)).otherwise(before * width + F.size(F.filter(F.get(inside, before), lambda y: y < x)))
+
+
 def dealt_by_range(df: DataFrame, key: str) -> DataFrame:
-    """The rows dealt into ranges of a long key (bucket), and once more (copy = 1) the row
-    that follows each range's last in descending order, after the whole's last its first.
+    """The rows (key, text) dealt into ranges of a long key (bucket), and once more (copy = 1)
+    the row that follows each range's last in descending order, after the whole's last its first.
 
-    Within a bucket, ordered by (copy, key descending), every row's next is the next row.
-    The list of ranges has an entry for BUCKET_ROWS rows; only while it is short is it
-    broadcast.
+    Within a bucket, ordered by (copy, key descending, ord descending), every row's next is the
+    next row. Lists of bounds have BUCKETS entries at most, about.
     """
     spark = df.sparkSession
-    s = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = s["lo"] or 0, s["hi"] or 0
-    buckets = max(1, s["n"] // BUCKET_ROWS)
-    width = (hi - lo) // buckets + 1
-    # Null keys come last: below the lowest range.
-    bucket = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1))
-    heads = df.select(bucket.alias("b"), F.col(key).alias("head")).groupBy("b").agg(F.max("head").alias("head"))
-    down = Window.orderBy(F.desc("b"))
-    last = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.select(F.col("b").alias("above"), F.lead("b").over(down).isNull().alias("end"), F.lead("head").over(down).alias("below"), F.first("head").over(last).alias("top"))
-    heads = heads.select("above", F.when(F.col("end"), F.col("top")).otherwise(F.col("below")).alias("head"))
-    if buckets <= 20_000:  # two numbers an entry
-        heads = F.broadcast(heads)
-    copy = df.join(heads, df[key].eqNullSafe(heads["head"]))
-    return df.withColumn("bucket", bucket).withColumn("copy", F.lit(0)).unionByName(copy.withColumnRenamed("above", "bucket").drop("head").withColumn("copy", F.lit(1)))
+    n = df.count()
+    per = max(BUCKET_ROWS, -(-n // BUCKETS))
+    points = [i / (n // per) for i in range(1, n // per)]
+    bounds = df.agg(F.percentile_approx(key, points, max(10_000, 8 * len(points))).alias("b")).first()["b"] if points else []
+    # Keys with more rows than a range: at most n / per of them.
+    many = {r[key]: r["n"] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per).collect()}
+    bounds = sorted({*(bounds or []), *(x for v in many if v is not None for x in (v - 1, v) if x >= -(1 << 63))})
+    # ord orders the rows of a key; turn tells equal texts apart, in any way.
+    df = df.withColumn("ord", F.shiftright(F.xxhash64("text"), 20))
+    rows = df.withColumn("turn", F.col("ord") * (1 << 19) + F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 19) - 1)))
+    place = F.coalesce(_below(bounds, F.col(key)), F.lit(-1)) if bounds else F.when(F.col(key).isNull(), -1).otherwise(0)
+    rows = rows.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(place).cast("long") * (1 << 20))
+    if many:
+        slots = -(-max(many.values()) // per)
+        keys = F.broadcast(spark.createDataFrame([(k, -(-c // per)) for k, c in many.items()], "many long, slots int"))
+        cuts = rows.join(keys, F.col(key).eqNullSafe(F.col("many"))).groupBy("many", "slots").agg(F.percentile_approx("turn", [i / slots for i in range(1, slots)], max(10_000, 8 * slots)).alias("cuts"))
+        cuts = cuts.select("many", F.expr(f"transform(sequence(1, slots - 1), i -> element_at(cuts, CAST(i * {slots} / slots AS INT)))").alias("cuts")).collect()  # n / per numbers at most
+        cuts = F.broadcast(spark.createDataFrame([(r["many"], r["cuts"]) for r in cuts], "many long, cuts array<long>"))
+        rows = rows.join(cuts, F.col(key).eqNullSafe(F.col("many")), "left")
+        rows = rows.withColumn("bucket", F.col("bucket") + F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("turn"))), F.lit(0))).drop("many", "cuts")
+    rows = rows.drop("turn")
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(key, "ord")).alias("head"))
+    down = Window.orderBy(F.desc("bucket"))
+    last = down.rowsBetween(Window.unboundedPreceding, 0)
+    heads = heads.select("bucket", F.coalesce(F.lead("head").over(down), F.first("head").over(last)).alias("head"))
+    heads = F.broadcast(heads.select(F.col("bucket").alias("above"), F.col(f"head.{key}").alias("hk"), F.col("head.ord").alias("ho")))  # three numbers a range
+    copy = df.join(heads, df[key].eqNullSafe(F.col("hk")) & (df["ord"] == F.col("ho")))
+    copy = copy.groupBy("above").agg(F.first(key, ignorenulls=False).alias(key), F.first("text").alias("text"), F.first("ord").alias("ord"))
+    return rows.withColumn("copy", F.lit(0)).unionByName(copy.withColumnRenamed("above", "bucket").withColumn("copy", F.lit(1)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,7 +145,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_next, n_anchors (kept in the fingerprint)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = sketch(dealt_by_range(d, "doc_id"), "text", "sk")
-    w = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
+    w = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("ord"))
     d = d.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sk", F.lead("sk").over(w)).filter("copy = 0")
     third = F.floor(F.length("text") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))

@@ -1,5 +1,9 @@
 import hashlib
+import random
+from collections import Counter
 
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from quillgraph.llm import syncmers
@@ -51,3 +55,65 @@ def test_nulls_repeats_empty_tables_and_clashing_names(spark):
     assert syncmers.fingerprints(spark.createDataFrame([], schema)).collect() == []
     one = syncmers.fingerprints(spark.createDataFrame([(5, "a b c d e f g")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
+
+
+def naive(texts):
+    """Anchors of a text from the definition, without Spark: (the KEPT smallest, all)."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    alone = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    token = regex.compile(rf"[{alone}]|[^ \t\n\x0b\f\r{alone}]{{1,16}}+")
+    out = []
+    for t in texts:
+        h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in token.findall(t)]
+        found = {(x & (1 << 64) - 1) >> 24 for x in h} if len(h) < syncmers.K else set()
+        for i in range(len(h) - syncmers.K + 1):
+            part = h[i : i + syncmers.K]
+            if min(part) in (part[0], part[-1]):
+                seed = 42
+                for x in part:
+                    seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+                found.add(seed >> 24)
+        out.append(sorted(found)[: syncmers.KEPT])
+    return out
+
+
+def alike(a, b):
+    least = sorted({*a, *b})[: syncmers.KEPT]
+    return sum(x in a and x in b for x in least) / len(least) if least else 1.0
+
+
+def same_as_naive(spark, rows, parts=3):
+    """Every row's fingerprints, edited text and likenesses; of rows with one doc_id as sets."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = syncmers.fingerprints(df).collect()
+    signed = {t: x - (1 << 64) if (x := xxhash.xxh64_intdigest(t.encode(), 42)) >> 63 else x for _, t in [(i, t or "") for i, t in rows]}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -(signed[r[1]] >> 20)))
+    want = Counter()
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        m = len(t) // 3
+        e = t[: len(t) - m] + u[:m]
+        a, b, c = naive([t, e, u])
+        hexes = lambda xs: "".join(f"{x:010x}" for x in xs)
+        want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), hexes(a), hexes(b), round(alike(a, b), 9), round(alike(a, c), 9))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+def test_whole_query_same_as_naive(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 9)
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "ζήτα", "語", "x" * 40]) + str(rng.randrange(9)) for _ in range(n))
+    rows = [(rng.choice([i, i * i, -i, 2**62 - i]), words(rng.randrange(0, 60))) for i in range(150)]
+    rows += [(2**63 - 1, words(20)), (-(2**63), words(20)), (5, None), (6, ""), (7, " ".join(f"v{i}" for i in range(150_000)))]  # the last over 1 MB
+    rows += [(77, words(12)) for _ in range(60)] + [(None, words(9)) for _ in range(50)] + [(None, None)]
+    rows += [(78, "one text many times over")] * 70
+    same_as_naive(spark, list(dict.fromkeys(rows)) + [(78, "one text many times over")] * 69)
+
+
+def test_ranges_hold_about_as_many_rows_however_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 500)
+    for ids in ("id", "IF(id = 0, 4611686018427387904, id)", "IF(id % 3 = 0, 7, id)", "IF(id % 3 = 0, NULL, id * id * id)"):
+        df = spark.range(0, 20_000, numPartitions=4).selectExpr(f"{ids} AS doc_id", "IF(id % 2 = 0, 'same', concat('t', id)) AS text")
+        dealt = syncmers.dealt_by_range(df, "doc_id")
+        sizes = [r["count"] for r in dealt.filter("copy = 0").groupBy("bucket").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 1500 and len(sizes) >= 30, (ids, sorted(sizes)[-5:])
+        assert dealt.filter("copy = 1").count() == len(sizes)
