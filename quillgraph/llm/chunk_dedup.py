@@ -5,7 +5,7 @@ divisible by ``every``, so about every fifth word. Within unbroken runs, that is
 hash's window holds no white space, a chunk ends after a non-ASCII character whose hash is
 divisible by RUN_EVERY; a far stricter test cuts at any character's end. The hash covers the last 16 bytes, so chunks depend on
 nearby text alone: an insertion moves no boundary beyond its own neighbourhood. Chunks
-with equal 128-bit digests are copies; the first in order of (doc_id, place) stays. Copies
+with equal 96-bit digests are copies; the first in order of (row, place) stays. Copies
 are cut out where they follow each other over at least ``min_words`` words, so short
 phrases that texts share by chance stay.
 
@@ -14,10 +14,11 @@ a chunk that a third of all documents hold is a run in a sorted array. Such chun
 thinned first: of equal digests in a task only the first is dealt to a block, as the rest
 are copies in any case.
 
-Null texts stay null, empty texts empty. A place in the order is (doc_id, chunk number), so
-repeated rows keep the same; a decision holds for a chunk only if its digest agrees, so
-rows that share a doc_id with other texts stay apart. Null doc_ids count as the largest.
-An empty table gives no rows. Other columns pass through untouched, whatever their names.
+Null texts stay null, empty texts empty. Rows go by doc_id, null ones last, and by their
+text's hash: rows that share a doc_id, or have none, with other texts are documents of
+their own, and passages that they share are cut. Rows that repeat both are one document:
+they keep the same text. An empty table gives no rows. Other columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _LAST = (1 << 63) - 1
-_ENTRY = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("at", "<u4")])
+_ENTRY = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4")])
 _FLAG = np.dtype([("at", "<u4"), ("tag", "<u4"), ("src", "<i8")])
 
 
@@ -76,39 +77,50 @@ def _digests(data: bytes, ends: np.ndarray) -> np.ndarray:
     return raw
 
 
+def _firsts(parts):
+    """Entries in order, without repeated rows; which are the first of their digest; and for
+    each the first's index."""
+    e = np.concatenate(parts)
+    e = e[np.lexsort((e["at"], e["row"], e["doc"], e["d2"], e["d1"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["d1"][1:] != e["d1"][:-1]) | (e["d2"][1:] != e["d2"][:-1])
+    once = new.copy()
+    once[1:] |= (e["doc"][1:] != e["doc"][:-1]) | (e["row"][1:] != e["row"][:-1]) | (e["at"][1:] != e["at"][:-1])
+    e, new = e[once], new[once]
+    return e, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def _entries(every: int, blocks: int):
     def pack(parts):
-        e = np.concatenate(parts)
-        e = e[np.lexsort((e["at"], e["doc"], e["d2"], e["d1"]))]
-        new = np.ones(len(e), bool)
-        new[1:] = (e["d1"][1:] != e["d1"][:-1]) | (e["d2"][1:] != e["d2"][:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        e, new, first = _firsts(parts)
         flags = _flags(e, first)
         one = e[new]
         block = (one["d1"] % np.uint64(blocks)).astype(np.int64)
-        order = np.lexsort((one["at"], one["doc"], block))
-        ids, kinds, docs, blobs = [], [], [], []
+        order = np.lexsort((one["at"], one["row"], one["doc"], block))
+        ids, docs, rows, blobs = [], [], [], []
         for idx in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
             part = one[idx]
             ids.append(int(block[idx[0]]))
             docs.append(None)
+            rows.append(None)
             blobs.append(zlib.compress(b"".join(np.ascontiguousarray(part[f]).tobytes() for f in _ENTRY.names), 1))
-        for n, (doc, blob) in enumerate(flags):
+        for n, (doc, row, blob) in enumerate(flags):
             ids.append(n % blocks)
             docs.append(doc)
+            rows.append(row)
             blobs.append(blob)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], ["block", "doc", "flags"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, docs, rows)] + [pa.array(blobs, pa.binary())], ["block", "doc", "row", "flags"])
 
     def run(batches):
         parts, held = [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, row, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if not text:
                     continue
                 data = text.encode("utf-8", "surrogatepass")
                 d = _digests(data, chunk_ends(data, every))
                 e = np.empty(len(d), _ENTRY)
-                e["d1"], e["d2"], e["doc"], e["at"] = d[:, 0], d[:, 1] >> np.uint64(32), _LAST if doc is None else doc, np.arange(len(d))
+                e["d1"], e["d2"], e["doc"], e["row"], e["at"] = d[:, 0], d[:, 1] >> np.uint64(32), _LAST if doc is None else doc, row, np.arange(len(d))
                 parts.append(e)
                 held += len(e)
                 if held >= FLUSH:
@@ -121,25 +133,26 @@ def _entries(every: int, blocks: int):
 
 
 def _flags(e: np.ndarray, first: np.ndarray):
-    """By document, the entries that aren't the first of their digest."""
+    """By document (doc, row), the entries that aren't the first of their digest."""
     src = e[first]
-    copy = (src["doc"] != e["doc"]) | (src["at"] != e["at"])
+    copy = (src["doc"] != e["doc"]) | (src["row"] != e["row"]) | (src["at"] != e["at"])
     f = np.empty(int(copy.sum()), _FLAG)
     f["at"], f["tag"], f["src"] = e["at"][copy], e["d2"][copy], src["doc"][copy]
-    doc = e["doc"][copy]
-    order = np.argsort(doc, kind="stable")
-    f, doc = f[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+    doc, row = e["doc"][copy], e["row"][copy]
+    order = np.lexsort((row, doc))
+    f, doc, row = f[order], doc[order], row[order]
+    starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])) if len(doc) else []
     ends = np.append(starts[1:], len(doc)) if len(doc) else []
     raw = f.tobytes()
-    return [(int(doc[i]), raw[i * _FLAG.itemsize : j * _FLAG.itemsize]) for i, j in zip(starts, ends)]
+    return [(int(doc[i]), int(row[i]), raw[i * _FLAG.itemsize : j * _FLAG.itemsize]) for i, j in zip(starts, ends)]
 
 
 def _block(tbl: pa.Table) -> pa.Table:
-    docs, blobs, parts = [], [], []
-    for doc, blob in zip(tbl.column("doc").to_pylist(), tbl.column("flags").to_pylist()):
+    docs, rows, blobs, parts = [], [], [], []
+    for doc, row, blob in zip(*(tbl.column(c).to_pylist() for c in ("doc", "row", "flags"))):
         if doc is not None:
             docs.append(doc)
+            rows.append(row)
             blobs.append(blob)
             continue
         raw = zlib.decompress(blob)
@@ -151,14 +164,12 @@ def _block(tbl: pa.Table) -> pa.Table:
             at += n * w
         parts.append(e)
     if parts:
-        e = np.concatenate(parts)
-        e = e[np.lexsort((e["at"], e["doc"], e["d2"], e["d1"]))]
-        new = np.ones(len(e), bool)
-        new[1:] = (e["d1"][1:] != e["d1"][:-1]) | (e["d2"][1:] != e["d2"][:-1])
-        for doc, blob in _flags(e, np.flatnonzero(new)[np.cumsum(new) - 1]):
+        e, _, first = _firsts(parts)
+        for doc, row, blob in _flags(e, first):
             docs.append(doc)
+            rows.append(row)
             blobs.append(blob)
-    return pa.table({"doc": pa.array(docs, pa.int64()), "flags": pa.array(blobs, pa.binary())})
+    return pa.table({"doc": pa.array(docs, pa.int64()), "row": pa.array(rows, pa.int64()), "flags": pa.array(blobs, pa.binary())})
 
 
 def cut_spans(data: bytes, flags: np.ndarray, every: int, min_words: int):
@@ -220,14 +231,15 @@ def dedup(docs: DataFrame, every: int = EVERY, min_words: int = MIN_WORDS) -> Da
     text, and the doc_ids of earlier documents that hold them."""
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = F.xxhash64(F.col("text").cast("string"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text"))
     size = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(8, int(size) // (6 * every * BLOCK_CHUNKS))
     s = Scratch(spark, "chunk-dedup")
-    packed = d.mapInArrow(_entries(every, blocks), "block long, doc long, flags binary")
-    flags = packed.groupBy("block").applyInArrow(_block, "doc long, flags binary").groupBy("doc").agg(F.collect_list("flags").alias("flags"))
+    packed = d.mapInArrow(_entries(every, blocks), "block long, doc long, row long, flags binary")
+    flags = packed.groupBy("block").applyInArrow(_block, "doc long, row long, flags binary").groupBy("doc", "row").agg(F.collect_list("flags").alias("flags"))
     flags = s.keep(s.write(flags, "copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
-    both = rows.join(flags, "doc", "left").select("r", "flags")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), row.alias("row"))
+    both = rows.join(flags, ["doc", "row"], "left").select("r", "flags")
     fields = "r " + docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")).schema["r"].dataType.simpleString()
     return both.mapInArrow(_cut(docs.columns.index("text"), every, min_words), f"{fields}, spans array<struct<start: long, end: long>>, sources array<long>")

@@ -75,7 +75,7 @@ def op2_fingerprints(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("r.doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("r.doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))  # a null doc_id is not held out, and trains nothing
     return scored.select("r.doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
 
 

@@ -11,9 +11,12 @@ MIN_Z standard deviations, gets a weight. A fifth of the sample is kept from thi
 and maps the noisy-or to a calibrated chance (logistic in its logit). The same weights then locate offending sentences.
 
 Training uses at most SAMPLE labelled documents, those with the smallest hashes of doc_id
-(a documented bound; labelled documents with held_out or a null label are never used).
-Inputs of a score are the text alone. Null, empty and wordless texts score 0. Repeated rows each get their row; a doc_id with
-several labels trains with each. Without labels of both kinds every score is 0.
+(a documented bound, which also holds where a doc_id has several texts; labelled documents
+with held_out or a null label are never used). Their bags of buckets are all that the driver
+keeps of them.
+Inputs of a score are the text alone. Null, empty and wordless texts score 0. Repeated rows each get their row and train
+once; a doc_id with several labels or texts trains with each, a null doc_id with none. Without labels of both kinds
+every score is 0. An empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,7 +74,10 @@ def bag(text: str | None, buckets: Memory) -> tuple[np.ndarray, list[int]]:
 def train(texts: list[str], labels: list[int]) -> dict:
     """Weights of the sentence score, by full-batch Adam on the noisy-or likelihood."""
     buckets = Memory(_buckets)
-    bags = [bag(t, buckets) for t in texts]
+    return _train([bag(t, buckets) for t in texts], labels)
+
+
+def _train(bags: list[tuple[np.ndarray, list[int]]], labels: list[int]) -> dict:
     y = np.array([label for label, (_, lens) in zip(labels, bags) if lens], float)
     bags = [b for b in bags if b[1]]
     if not len(y) or y.min() == y.max():
@@ -145,9 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     with Scratch(docs.sparkSession, "toxicity") as s:
         chosen = s.write(chosen, "sample")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toLocalIterator()  # SAMPLE rows at most were broadcast
-        rows = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in got))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+        got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))  # SAMPLE rows at most were broadcast
+        got = s.write(got, "texts")
+        first = got.select("doc_id", "toxic", "h").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "h").limit(SAMPLE)
+        buckets = Memory(_buckets)
+        rows = got.join(F.broadcast(first), ["doc_id", "toxic", "h"]).toLocalIterator()
+        rows = sorted(((r["doc_id"], r["toxic"], r["h"], bag(r["text"], buckets)) for r in rows), key=lambda r: r[:3])
+    return _train([r[3] for r in rows], [r[1] for r in rows])
 
 
 def _scorer(model):

@@ -40,7 +40,8 @@ SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES = 16_000_000
 #: The dictionary's size, and the bytes of an archive's first records it is trained on.
 DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORD = 32_768, 2_000_000, 16_384
-MAX_RECORD = 1 << 30
+#: No column holds 2 GiB, so no record that was written is longer than that and its headers.
+MAX_RECORD = (1 << 31) + (1 << 20)
 #: Bytes given to the decoder at a time.
 FEED = 1 << 14
 #: All records bear this date: archives of the same rows are the same bytes.

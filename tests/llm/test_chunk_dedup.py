@@ -1,22 +1,48 @@
+import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from quillgraph.llm import chunk_dedup as cd
 
 
+GEAR = [int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=2).digest(), "little") for i in range(256)]
+
+
+def naive_ends(data):
+    """Chunk ends byte by byte: a 16-bit gear hash rolls, and its last 16 bytes decide."""
+    ends, h, last_space = [], 0, -1
+    for i, x in enumerate(data):
+        h = ((h << 1) + GEAR[x]) & 0xFFFF
+        space = x in b"\t\n\v\f\r "
+        last_space = i if space else last_space
+        whole = i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80
+        run = whole and x >= 0x80 and h % cd.RUN_EVERY == 0 and last_space < max(i - 15, 0)
+        if (space and h % cd.EVERY == 0) or (whole and h % 509 == 0) or run or i + 1 == len(data):
+            ends.append(i + 1)
+    return ends
+
+
+def signed(text):
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute(rows):
-    """The same rule without blocks: first (doc_id, place) of every chunk stays."""
+    """The same rule without blocks: the first (doc_id, hash of the text, place) of every
+    chunk stays. Keyed by doc_id where those differ, else by (doc_id, text)."""
     seen, chunks = {}, {}
-    for doc, text in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
+    for doc, text in sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]))):
         data, at = text.encode(), 0
-        for i, e in enumerate(cd.chunk_ends(data).tolist()):
-            chunks.setdefault(doc, []).append((at, e, seen.setdefault(data[at:e], (doc, i)) != (doc, i)))
+        for i, e in enumerate(naive_ends(data)):
+            chunks.setdefault((doc, text), []).append((at, e, seen.setdefault(data[at:e], (doc, text, i)) != (doc, text, i)))
             at = e
-    out = {}
+    out, alone = {}, len({d for d, _ in rows}) == len(rows)
     for doc, text in rows:
+        key = doc if alone else (doc, text)
         keep, run, data = [], [], (text or "").encode()
-        for s, e, copy in [*chunks.get(doc, []), (0, 0, False)]:
+        for s, e, copy in [*chunks.get((doc, text), []), (0, 0, False)]:
             if copy:
                 run.append((s, e))
                 continue
@@ -26,7 +52,7 @@ def brute(rows):
                     keep.append(part)
                 run = []
             keep.append(data[s:e])
-        out[doc] = None if text is None else b"".join(keep).decode()
+        out[key] = None if text is None else b"".join(keep).decode()
     return out
 
 
@@ -77,3 +103,23 @@ def test_one_shared_passage_without_spaces_goes(spark):
         assert got[0] == rows[0][1]
         for i, text in rows[1:]:
             assert passage[40:80] not in got[i] and got[i].startswith(text[:300]) and got[i].endswith(text[-300:])
+
+
+def test_rows_without_or_with_one_doc_id_are_cut_too(spark):
+    """A passage that rows with a null or a repeated doc_id share stays once."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage = words(60)
+    rows = [(doc, passage + " " + words(30) if i % 2 else words(20) + " " + passage) for doc in (None, 7, None, 7) for i in range(6)]
+    rows += [(None, rows[3][1])] * 3 + [(7, None), (None, ""), (3, words(9))] + [(i, words(40)) for i in range(100, 140)]
+    for parts in (1, 4):
+        got = {}
+        for r in cd.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect():
+            got.setdefault(r.r.doc_id, []).append(r.r.text)
+        want = {}
+        by = brute(rows)
+        for row in rows:
+            want.setdefault(row[0], []).append(by[row])
+        order = lambda xs: sorted(xs, key=lambda t: (t is None, t or ""))
+        assert {d: order(t) for d, t in got.items()} == {d: order(t) for d, t in want.items()}
+        assert sum(passage[80:-80] in (t or "") for ts in got.values() for t in ts) == 1

@@ -93,3 +93,54 @@ def test_rare_hosts_and_long_sets_make_rules(spark):
     rows = [(names, "block")] * 20 + [([x for x in names if x != gone], "allow") for gone in names] * 30
     rules = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8).collect()
     assert (names, "block") in [(r["items"], r.verdict) for r in rules]
+
+
+def naive_tokens(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].lower(), m[2]) if m else ("", "")
+    if not host:
+        return set()
+    labels = host.split(".")
+    out = {"end:" + ".".join(labels[-i:]) for i in range(1, min(4, len(labels)) + 1)} | {f"host:{x}" for x in labels if x}
+    out |= {f"path:{x}" for x in path.split("/") if x} | {f"word:{x}" for x in re.split("[^a-z0-9]+", path.lower()) if x}
+    query = re.match(r"(?s)[^?#]*\?([^#]*)", url)
+    return out | {f"name:{x}" for x in re.findall(r"(?:^|&)([^=&]+)", query[1] if query else "")}
+
+
+def brute_verdicts(urls, support=2, confidence=0.8):
+    """Every set of tokens of a labelled URL is counted; an open URL takes its best rule's verdict."""
+    named = set(ur.named_by(ur.RULES))
+    labelled, open_urls = [], []
+    for u in urls:
+        verdict = brute_listed(u)[3]
+        (labelled if verdict else open_urls).append((naive_tokens(u) - named, verdict) if verdict else u)
+    counts = {}
+    for toks, verdict in labelled:
+        toks = sorted(toks)
+        for bits in range(1, 1 << len(toks)):
+            c = counts.setdefault(frozenset(t for i, t in enumerate(toks) if bits >> i & 1), {"allow": 0, "block": 0})
+            c[verdict] += 1
+    rules = [(c[v] / sum(c.values()), c[v], -len(s), v, s) for s, c in counts.items() for v in c if c[v] >= support and c[v] / sum(c.values()) >= confidence]
+    best = lambda u: max((r[:4] for r in rules if r[4] <= naive_tokens(u)), default=(0, 0, 0, ur.DEFAULT))[3]
+    longest = max(-r[2] for r in rules if not any(q[4] < r[4] and q[3] == r[3] and q[0] >= r[0] for q in rules))
+    return {u: best(u) for u in open_urls}, longest
+
+
+def test_verdicts_of_open_urls_same_as_brute_force_mining(spark):
+    """With a rule of six words that no shorter one implies."""
+    rng = random.Random(3)
+    six = [f"w{i}" for i in range(6)]
+    urls = []
+    for i in range(24):  # all six words: blocked; any five of them: allowed
+        urls += [f"http://net/{'-'.join(six)}"] if i % 4 == 0 else []
+        urls += [f"http://org/fr/{'-'.join(x for x in six if x != six[i % 6])}"]
+    for i in range(40):
+        words = "-".join(rng.sample("abcde", rng.randrange(1, 4)))
+        urls.append(f"http://{rng.choice('pq')}.{rng.choice(['net/', 'org/fr/', 'org/fr/'])}{words}{rng.choice(['', '?k=1', '?z=2&k=3'])}")
+        urls.append(f"http://{rng.choice('pqr')}.dev/{'-'.join(rng.sample('abcdef', rng.randrange(1, 5)))}{rng.choice(['', '?k=1'])}")
+    urls += [f"http://x.dev/{'-'.join(six)}", f"http://x.dev/{'-'.join(six[:5])}", f"http://x.dev/{'-'.join(reversed(six))}-more", "http://q.dev/w0", "nothing", None]
+    urls.append("http://p.dev/" + "a-b/" * 300_000)  # over 1 MB
+    want, longest = brute_verdicts(urls)
+    assert longest >= 6 and set(want.values()) == {"allow", "block"}
+    got = {r.page_id: r for r in ur.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert {urls[i]: r.verdict for i, r in got.items() if r.rule is None} == want
