@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .catalog import Graph, Index
 
 
-_FRAMES: dict[tuple, DataFrame] = {}
+_SCHEMAS: dict[tuple, object] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is looked up once a session."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
-    if key not in _FRAMES:
-        _FRAMES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _FRAMES[key]
+    """A table; its schema is looked up once a session, its files at every call."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = f"{sf_dir}/{name}.parquet"
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:

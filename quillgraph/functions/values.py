@@ -23,11 +23,35 @@ def is_number(kind: str) -> bool:
     return kind in NUMERIC or kind.startswith("decimal")
 
 
+#: A float as text has an exponent from this power of ten on, and below 1e-4.
+EXPONENT_FROM = 6
+
+
+def float_text(col: Column) -> Column:
+    """A float as the shortest text that reads back as it: 5, 0.25, 1e+06, 2.5e-07, +Inf."""
+    raw = F.regexp_replace(col.cast("string"), "^-", "")
+    part = lambda n: F.regexp_extract(raw, r"^(\d+)\.(\d+)(?:E(-?\d+))?$", n)
+    whole, rest, power = part(1), part(2), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, rest), "^0+", ""), "0+$", "")
+    zeros = F.length(F.regexp_extract(rest, "^0*", 0))
+    exp = power + F.when(whole != "0", F.length(whole) - 1).otherwise(-zeros - 1)
+    n = F.length(digits)
+    point = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
+    scientific = F.concat(point, F.when(exp < 0, "e-").otherwise("e+"), F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")))
+    plain = (
+        F.when(exp < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits))
+        .when(exp >= n - 1, F.concat(digits, F.repeat(F.lit("0"), exp - n + 1)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n)))
+    )
+    text = F.when(digits == "", "0").when((exp < -4) | (exp >= EXPONENT_FROM), scientific).otherwise(plain)
+    sign = F.when(F.startswith(col.cast("string"), F.lit("-")), "-").otherwise("")
+    return F.when(F.isnan(col), "NaN").when(F.abs(col) == float("inf"), F.when(col > 0, "+Inf").otherwise("-Inf")).otherwise(F.concat(sign, text))
+
+
 def render(col: Column, kind: str) -> Column:
-    """A value as text; whole doubles without a fraction."""
+    """A value as text; floats as ``float_text`` has them."""
     if kind in ("float", "double"):
-        whole = (col == F.floor(col)) & (F.abs(col) < 1e15)
-        return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+        return F.when(col.isNotNull(), float_text(col))
     if kind == "string":
         return col
     if kind.startswith(("array", "struct", "map")):
@@ -40,8 +64,16 @@ def render_literal(v) -> str:
         return MISSING
     if isinstance(v, bool):
         return "true" if v else "false"
-    if isinstance(v, float) and v.is_integer() and abs(v) < 1e15:
-        return str(int(v))
+    if isinstance(v, float):
+        if math.isnan(v) or math.isinf(v):
+            return "NaN" if math.isnan(v) else "+Inf" if v > 0 else "-Inf"
+        mantissa, _, exp = f"{v:.17e}".partition("e") if v == 0 else next(t for t in (f"{v:.{n}e}" for n in range(17)) if float(t) == v).partition("e")
+        if v == 0:
+            return "-0" if math.copysign(1, v) < 0 else "0"
+        power = int(exp)
+        if power < -4 or power >= EXPONENT_FROM:
+            return f"{mantissa}e{'-' if power < 0 else '+'}{abs(power):02d}"
+        return f"{v:.{max(0, len(mantissa.partition('.')[2]) - power)}f}"
     return str(v)
 
 

@@ -61,6 +61,9 @@ class Compare:
     op: str  # = != < <= > >=
     value: Any
 
+    def __hash__(self):  # lists and objects are values too
+        return hash((self.ref, self.op, repr(self.value)))
+
 
 @dataclass(frozen=True)
 class IsNull:

@@ -16,12 +16,15 @@ from ..catalog import Graph, node_id
 from ..errors import Conflict
 
 
-def edge_frame(graph: Graph, label: str = "contains", pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(src, dst, edge_id, ord) of a label's edges in whole-graph ids."""
+def edge_frame(graph: Graph, label: str = "contains", pairs: list[tuple[str, str]] | None = None, filters=None) -> DataFrame:
+    """(src, dst, edge_id, ord) of a label's edges in whole-graph ids. ``filters``: conditions
+    on the rows of an edge part."""
     out = []
     for p in graph.parts(label):
         if pairs is None or (p.source, p.target) in pairs:
             e = p.df.filter(F.col(p.src).isNotNull() & F.col(p.dst).isNotNull())
+            for c in filters(p) if filters else []:
+                e = e.filter(c)
             order = F.col(p.order).cast("double") if p.order else F.lit(None).cast("double")
             out.append(e.select(node_id(p.source, F.col(p.src)).alias("src"), node_id(p.target, F.col(p.dst)).alias("dst"), p.id_column().alias("edge_id"), order.alias("ord")))
     return reduce(lambda a, b: a.unionByName(b), out)
@@ -40,8 +43,8 @@ def subtree(roots: DataFrame, edges: DataFrame, min_depth: int = 0, max_depth: i
         nxt = at.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node"), F.col("src").alias("parent"), "edge_id", "ord", F.lit(depth).alias("depth"))
         nxt = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         nxt = nxt.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
-        if max_depth < 0:
-            nxt = nxt.checkpoint()  # written once: the emptiness test and the next level read it
+        if max_depth < 0 or depth % 3 == 0:  # written once: every later level reads it
+            nxt = nxt.checkpoint()
             if nxt.isEmpty():
                 break
         at, seen = nxt, seen.unionByName(nxt)

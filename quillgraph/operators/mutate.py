@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import EdgePart, Graph, NodeTable, node_id
-from ..errors import BindingProblem, Conflict, Unsupported
+from ..errors import BindingProblem, BudgetExceeded, Conflict, Unsupported
 from ..functions import values as V
 from ..model import Delete, Insert, Item, LinkNodes, MergeNode, NodePattern, Query, Ref, SetFields
 
@@ -79,41 +79,80 @@ def _merge_node(graph, st: MergeNode, compiler, spark):
     if st.node.labels and st.node.labels[0] in graph.nodes and not compiler.run(Query(NodePattern("n", st.node.labels, st.node.props), items=[Item("n")])).rows.isEmpty():
         return graph, compiler.run(q).rows
     out = _insert(graph, st.node, spark)
-    again = type(compiler)(out)
+    again = type(compiler)(out, **compiler.options())
     return out, again.run(q).rows
 
 
 def _set(graph, st: SetFields, compiler):
-    """All rows are matched first; a node met twice is written once."""
-    al = compiler.bind(st.match)
-    matched = compiler.match(st.match, al)
-    out = graph
-    by: dict[str, list] = {}
+    """All rows are matched first; a node or edge met twice is written once. The rows that
+    matched are returned, with what was written wherever they show it."""
+    q = st.match
+    al = compiler.bind(q)
+    nodes: dict[str, dict] = {}
+    edges: dict[str, dict] = {}
     for ref, v in st.assignments:
-        if ref.alias not in al or al[ref.alias].kind != "node":
-            raise Unsupported("only fields of nodes are set")
-        by.setdefault(ref.alias, []).append((ref.field, v))
-    for alias, sets in by.items():
+        if ref.alias not in al or al[ref.alias].kind == "path":
+            raise BindingProblem(f"{ref.alias} is not a node or an edge")
+        (nodes if al[ref.alias].kind == "node" else edges).setdefault(ref.alias, {})[ref.field] = v
+    matched = compiler.match(q, al, [Ref(a, "edge_id") for a in edges])
+    keys = [f"`{p.alias}__k`" for p in q.patterns()]
+    if q.limit is not None or q.offset is not None:
+        matched = compiler._page(q, al, matched, keys)
+    out = graph
+    for alias, sets in nodes.items():
         t = out.node(al[alias].label)
-        if any(f == t.key for f, _ in sets):
+        if t.key in sets:
             raise Unsupported("keys stay as they are")
         hit = matched.select(F.col(f"`{alias}__k`").alias("__hit")).distinct()
-        types = t.columns()
-        df = t.df.join(hit, F.col(t.key) == F.col("__hit"), "left")
-        for name, v in sets:
-            new = F.lit(v).cast(types[name]) if name in types else F.lit(v)
-            old = F.col(f"`{name}`") if name in types else F.lit(None).cast("string" if v is None else dict(df.select(F.lit(v).alias("x")).dtypes)["x"])
-            df = df.withColumn(name, F.when(F.col("__hit").isNotNull(), new).otherwise(old))
-        out = _put(out, t, df.drop("__hit"))
-    # what is returned is read from the new snapshot, for the rows that matched before
-    ids = {a: matched.select(F.col(f"`{a}__k`").alias(f"__{a}")).distinct() for a in by}
-    again = type(compiler)(out)
-    q = replace(st.match, where=None, start=replace(st.match.start, props={}))
-    al2 = again.bind(q)
-    rows = again.match(q, al2)
-    for a, i in ids.items():
-        rows = rows.join(i, F.col(f"`{a}__k`") == F.col(f"__{a}"), "left_semi")
-    return out, _page(again.shape(replace(q, limit=None), al2, rows, [f"`{p.alias}__k`" for p in q.patterns()]), q.limit)
+        out = _put(out, t, _written(t.df.join(hit, F.col(t.key) == F.col("__hit"), "left"), sets))
+    for alias, sets in edges.items():
+        hit = matched.select(F.col(f"`{alias}__properties.edge_id`").alias("__hit")).distinct()
+        out = out.copy()
+        parts = []
+        for p in out.parts(al[alias].label):
+            if {p.src, p.dst} & set(sets):
+                raise Unsupported("ends of an edge stay as they are")
+            df = p.df.withColumn("__id", p.id_column().cast("string"))
+            if p.edge_id is not None:  # a written property must not change the id
+                df = df.withColumn("__edge", F.col("__id"))
+            df = _written(df.join(hit, F.col("__id") == F.col("__hit"), "left"), sets).drop("__id")
+            own = [c for c in dict.fromkeys([*(p.props or [c for c in p.df.columns if c not in (p.src, p.dst)]), *sets])]
+            parts.append(replace(p, df=df, held_by=None, props=own, edge_id=F.col("__edge") if p.edge_id is not None else None))
+        out.edges[al[alias].label] = parts
+    # the matched rows, with the new values at every alias that shows a written node or edge
+    again = type(compiler)(out, **compiler.options())
+    rows = matched
+    for kind, written in (("node", nodes), ("edge", edges)):
+        mark = "k" if kind == "node" else "properties.edge_id"
+        for alias, sets in written.items():
+            for other, what in al.items():
+                if what.kind != kind or what.label != al[alias].label or (kind == "edge" and f"{other}__{mark}" not in rows.columns):
+                    continue
+                if other != alias:
+                    hit = matched.select(F.col(f"`{alias}__{mark}`").alias("__hit")).distinct()
+                    rows = rows.join(hit, F.col(f"`{other}__{mark}`") == F.col("__hit"), "left")
+                for name, v in sets.items():
+                    c, have = f"{other}__properties.{name}", f"{other}__properties.{name}" in rows.columns
+                    new = _literal(v, dict(out.node(what.label).df.dtypes).get(name) if kind == "node" else None)
+                    old = F.col(f"`{c}`") if have else F.lit(None)
+                    rows = rows.withColumn(c, new if other == alias else F.when(F.col("__hit").isNotNull(), new).otherwise(old))
+                    what.types[f"properties.{name}"] = dict(rows.dtypes)[c]
+                rows = rows.drop("__hit")
+    return out, again.shape(replace(q, limit=None, offset=None, order=[]), al, rows, keys)
+
+
+def _literal(v, kind: str | None):
+    return F.lit(v).cast(kind) if kind else F.lit(v)
+
+
+def _written(df: DataFrame, sets: dict) -> DataFrame:
+    """Rows that were hit (column __hit) with their new values."""
+    types = dict(df.dtypes)
+    for name, v in sets.items():
+        new = _literal(v, types.get(name))
+        old = F.col(f"`{name}`") if name in types else F.lit(None).cast("string" if v is None else dict(df.select(F.lit(v).alias("x")).dtypes)["x"])
+        df = df.withColumn(name, F.when(F.col("__hit").isNotNull(), new).otherwise(old))
+    return df.drop("__hit")
 
 
 def incident(graph: Graph, label: str, keys: DataFrame) -> DataFrame:
@@ -181,7 +220,9 @@ def _link(graph, st: LinkNodes, compiler, spark):
         if st.merge and ends[a][1].limit(2).count() > 1:
             raise Conflict(f"{a} matches more than one node")
     (sl, sdf), (tl, tdf) = ends[st.source], ends[st.target]
-    # independent matches make every pair, as the statement says
+    # independent matches make every pair, as the statement says, within the budget
+    if st.source != st.target and sdf.count() * tdf.count() > compiler.pair_budget:
+        raise BudgetExceeded(f"more than {compiler.pair_budget} pairs of {st.source} and {st.target}")
     pairs = sdf.crossJoin(tdf) if st.source != st.target else sdf.withColumn("__t", F.col(st.source))
     new = pairs.select(F.col(pairs.columns[0]).alias("src"), F.col(pairs.columns[1]).alias("dst"), *[F.lit(v).alias(k) for k, v in st.props.items()])
     out = graph.copy()

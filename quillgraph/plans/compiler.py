@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..catalog import EdgePart, Graph, NodeTable, node_id
 from ..errors import AccessPathMissing, BindingProblem, SchemaProblem, Unsupported
 from ..functions import values as V
+from ..operators import hierarchy
 from ..model import BUILDER_MAX_DEPTH, Aggregate, And, Compare, Exists, HasTag, IsNull, Item, NodePattern, Or, Predicate, Query, Ref, Similar, Step, Text, all_of, conjuncts, refs_of
 
-PSEUDO_NODE, PSEUDO_EDGE = ("node_id", "content"), ("edge_id", "from_node_id", "to_node_id")
+PSEUDO_NODE, PSEUDO_EDGE = ("node_id", "content"), ("edge_id", "from_node_id", "to_node_id", "label")
 
 
 @dataclass
@@ -44,11 +45,18 @@ def col(alias: str, name: str) -> Column:
 
 
 class Compiler:
-    def __init__(self, graph: Graph, strict_order: bool = False, index_semantics: bool = False, vectors=None, strict_schema: bool = False):
+    def __init__(self, graph: Graph, strict_order: bool = False, index_semantics: bool = False, vectors=None, strict_schema: bool = False, pair_budget: int = 1_000_000, schema=None):
         """``index_semantics``: an ordered read of a field with a declared ordered index drops
         rows without the field, as a walk over the index does. ``strict_order``: refuse
-        orders that no index serves. ``vectors``: fn(query, top) giving (node_id, rank, score)."""
+        orders that no index serves. ``vectors``: fn(query, top) giving (node_id, rank, score).
+        ``pair_budget``: pairs that matches without an edge between them may make. ``schema``:
+        a schema document; in strict mode names that it lacks and ends that it forbids are
+        refused, in warn mode they are listed in ``warnings``."""
         self.graph, self.strict_order, self.index_semantics, self.vectors, self.strict_schema = graph, strict_order, index_semantics, vectors, strict_schema
+        self.pair_budget, self.schema, self.warnings = pair_budget, schema, []
+
+    def options(self) -> dict:
+        return {k: getattr(self, k) for k in ("strict_order", "index_semantics", "vectors", "strict_schema", "pair_budget", "schema")}
 
     # names -----------------------------------------------------------------------------
     def bind(self, q: Query) -> dict[str, _Alias]:
@@ -101,8 +109,43 @@ class Compiler:
         names = [i.output for i in q.items]
         if len(set(names)) != len(names):
             raise BindingProblem("two outputs have the same name")
+        if self.schema is not None and self.schema.mode != "permissive":
+            self._against_schema(q, out)
         return out
 
+    def _against_schema(self, q: Query, al: dict[str, _Alias]) -> None:
+        """Labels, fields and ends that the schema document doesn't have."""
+        found, doc = [], self.schema
+
+        def types(kinds, names):
+            return [t for t in kinds if set(names) & {t.name, *t.labels}]
+
+        def fields_known(ts, refs):
+            for name, ns in refs:
+                if ts and name not in (*PSEUDO_NODE, *PSEUDO_EDGE) and not any(f.name == name for t in ts for f in getattr(t, ns)):
+                    found.append(f"{ts[0].name} has no field {ns}.{name}")
+
+        used: dict[str, list] = {a: [] for a in al}
+        for r in [*refs_of(q.where), *[r for r, _ in q.order], *[i.what for i in q.items if isinstance(i.what, Ref)], *[i.what.arg for i in q.items if isinstance(i.what, Aggregate) and isinstance(i.what.arg, Ref)]]:
+            used[r.alias].append((r.field, r.namespace))
+        nodes = {}
+        for p in q.patterns():
+            nodes[p.alias] = types(doc.nodes, p.labels)
+            found += [f"label {x} is not in the schema" for x in p.labels if not types(doc.nodes, [x])]
+            fields_known(nodes[p.alias], [*used[p.alias], *[(k, "properties") for k in p.props]])
+        for near, s in zip(q.patterns(), q.steps):
+            es = types(doc.edges, s.labels)
+            found += [f"edge label {x} is not in the schema" for x in s.labels if not types(doc.edges, [x])]
+            fields_known(es, [*used[s.alias], *[(k, "properties") for k in s.props]])
+            ways = {"out": [(near, s.target)], "in": [(s.target, near)], "both": [(near, s.target), (s.target, near)]}[s.direction]
+            ends = [(nodes[a.alias], nodes[b.alias]) for a, b in ways]
+            fits = lambda names, ts: not names or any(set(names) & {t.name, *t.labels} for t in ts)
+            if es and all(a and b for a, b in ends) and not s.quantified and not any(fits(e.source, a) and fits(e.target, b) for e in es for a, b in ends):
+                found.append(f"{s.labels[0]} doesn't join these labels")
+        if found and doc.mode == "strict":
+            raise SchemaProblem("; ".join(found))
+        self.warnings += found
+
     def _infer(self, q: Query, al: dict[str, _Alias]) -> None:
         """Labels of unlabelled nodes, where an edge's ends leave one choice."""
         ps = q.patterns()
@@ -235,7 +278,7 @@ class Compiler:
                 for c in self.table(al[i.what].label).columns():
                     want(Ref(i.what, c))
             elif isinstance(i.what, str) and al[i.what].kind == "edge":
-                for c in PSEUDO_EDGE:
+                for c in [*PSEUDO_EDGE, *self.edge_columns(al[i.what].label)]:
                     want(Ref(i.what, c))
 
         track = bool(q.path) or q.graph or any(s.quantified or s.max_depth > 1 for s in q.steps)
@@ -248,7 +291,11 @@ class Compiler:
                 raise AccessPathMissing("no vector index is declared", "give Compiler vectors")
             if s.alias != start.alias:
                 raise Unsupported("a likeness search stands on the first node")
-            near = self.vectors(s.query, s.top).select(F.col("node_id").alias("__near"), F.col("rank").alias(f"{s.alias}__rank"), F.col("score").alias(f"{s.alias}__score"))
+            label = al[start.alias].label
+            there = self.table(label).df.select(self.field(self.table(label), "node_id")[0].alias("__there"))
+            near = self.vectors(s.query, s.top).join(there, F.col("node_id") == F.col("__there"), "left")
+            near = near.filter(F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("candidate "), "node_id", F.lit(" is gone")))).otherwise(F.lit(True)))
+            near = near.select(F.col("node_id").alias("__near"), F.col("rank").alias(f"{s.alias}__rank"), F.col("score").alias(f"{s.alias}__score"))
             df = df.join(near, node_id(al[start.alias].label, col(start.alias, "k")) == F.col("__near")).drop("__near")
         previous, done = start, []
         if track:
@@ -303,6 +350,8 @@ class Compiler:
         for name, ns in need:
             if name == "edge_id":
                 c, kind = part.id_column(), "string"
+            elif name == "label":
+                c, kind = F.lit(part.label), "string"
             elif name in ("from_node_id", "to_node_id"):
                 c, kind = (node_id(part.source, F.col(part.src)) if name == "from_node_id" else node_id(part.target, F.col(part.dst))), "string"
             elif name in types:
@@ -398,6 +447,8 @@ class Compiler:
         al = self.bind(q)
         if q.mode == "collect":
             return Result(self.collect(q, al))
+        if q.graph and q.order and len(q.steps) == 1 and not q.path:
+            return self.subtrees(q, al)
         if self.strict_order and q.order and (len(q.order) > 1 or q.order[0][0].alias != q.start.alias or not self._index(al[q.start.alias].label, q.order[0][0].field)):
             raise AccessPathMissing(f"no ordered index serves {q.order[0][0].name}", f"declare an ordered index on {q.order[0][0].field}")
         df = self.match(q, al)
@@ -437,7 +488,12 @@ class Compiler:
         if al[w].kind == "node":
             t = self.table(al[w].label)
             return F.struct(self._gid(al, w).alias("node_id"), *[F.col(f"`{w}__properties.{c}`").alias(c) for c in t.columns() if c != "__id"])
-        return F.struct(*[F.col(f"`{w}__properties.{c}`").alias(c) for c in PSEUDO_EDGE])
+        return F.struct(*[F.col(f"`{w}__properties.{c}`").alias(c) for c in [*PSEUDO_EDGE, *self.edge_columns(al[w].label)]])
+
+    def edge_columns(self, label: str) -> list[str]:
+        """The property columns of a label's edges."""
+        every = [c for p in self.graph.parts(label) for c in (p.props or [c for c in p.df.columns if c not in (p.src, p.dst)])]
+        return [c for c in dict.fromkeys(every) if c not in PSEUDO_EDGE]
 
     def shape(self, q: Query, al, df: DataFrame, keys: list[str]) -> DataFrame:
         if any(isinstance(i.what, Aggregate) for i in q.items):
@@ -499,9 +555,8 @@ class Compiler:
                 c = F.count(F.lit(1)) if al[w.arg].kind != "node" else F.count(col(w.arg, "k"))
             else:
                 v, kind = self.resolve(al, w.arg)
-                if w.fn in ("sum", "avg") and not V.is_number(kind):
-                    if self.strict_schema or kind != "string":
-                        raise BindingProblem(f"{w.fn} needs numbers, {w.arg.name} is {kind}")
+                if w.fn in ("sum", "avg") and not V.is_number(kind) and self._known(al, w.arg):
+                    raise BindingProblem(f"{w.fn} needs numbers, {w.arg.name} is {kind}")
                 c = {
                     "count": lambda: F.count(v),
                     "sum": lambda: F.coalesce(F.sum(v.cast("double")), F.lit(0.0)),
@@ -516,10 +571,56 @@ class Compiler:
         aggs += [F.min_by(c, first).alias(n) for n, c in marks]
         return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
+    def _known(self, al, ref: Ref) -> bool:
+        """Whether a field is a column: what isn't is missing everywhere, not of a wrong type."""
+        if al[ref.alias].kind == "edge":
+            return ref.field in [*PSEUDO_EDGE, *self.edge_columns(al[ref.alias].label)]
+        t = self.table(al[ref.alias].label)
+        want = " ".join(ref.field.split()).lower()
+        return any(" ".join(c.split()).lower() == want for c in t.columns()) or ref.field in PSEUDO_NODE
+
+    def _by_alias(self, q: Query) -> dict[str, Predicate | None]:
+        """The filter of each node, where every predicate speaks of one alias."""
+        own: dict[str, list[Predicate]] = {}
+        for p in conjuncts(q.where):
+            names = {p.alias} if isinstance(p, Similar) else {r.alias for r in refs_of(p)}
+            if len(names) != 1:
+                raise Unsupported("a predicate over several aliases has no place where targets are gathered")
+            own.setdefault(names.pop(), []).append(p)
+        return {a: all_of(ps) for a, ps in own.items()}
+
+    def subtrees(self, q: Query, al) -> Result:
+        """RETURN GRAPH in an order over one segment: a row for each ordered root, with its
+        tree as ``graph``: members (depth, ord, node, parent), by depth, order and id. Only
+        children by outgoing ``contains`` have a parent; else all members are flat."""
+        s, own = q.steps[0], self._by_alias(q)
+        start = q.start.alias
+        if any(r.alias != start for r, _ in q.order):
+            raise Unsupported("trees are ordered by fields of their roots")
+        one = Query(q.start, where=own.get(start), items=[Item(start)], order=q.order, offset=q.offset, limit=q.limit)
+        df = self.match(one, {start: al[start]})
+        keys = [f"`{start}__k`"]
+        ordered = self._page(one, al, df, keys)
+        roots = ordered.select(self._gid(al, start).alias("root"))
+        e = hierarchy.edge_frame(self.graph, s.labels[0], filters=lambda p: [V.compare(F.col(k), dict(p.df.dtypes).get(k, "string"), "=", v) if k in p.df.columns else F.lit(False) for k, v in s.props.items()])
+        if s.direction == "both":
+            e = e.unionByName(e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id", "ord"))
+        flat = hierarchy.subtree(roots, e, s.min_depth, s.max_depth, "in" if s.direction == "in" else "out")
+        t = s.target
+        if al[t.alias].label or t.props or t.labels or own.get(t.alias) is not None:
+            hit = self.scan(t, al[t.alias], [], own.get(t.alias)).select(self._gid(al, t.alias).alias("node"))
+            flat = flat.filter("depth = 0").unionByName(flat.filter("depth > 0").join(hit, "node", "left_semi").select(*flat.columns))
+        shaped = flat if s.direction == "out" and s.labels[0] == "contains" else flat.withColumn("parent", F.lit(None).cast("string"))
+        rows = ordered.select("*", self._gid(al, start).alias("__root")).join(hierarchy.trees(shaped), F.col("__root") == F.col("root"), "left")
+        empty = F.array().cast(shaped.select(F.array(F.struct("depth", F.coalesce("ord", F.lit(0.0)).alias("ord"), "node", "parent")).alias("m")).schema["m"].dataType)
+        rows = rows.orderBy(*self._order(one, al, keys)).select(self.output(al, Item(start)).alias(start), F.coalesce("members", empty).alias("graph"))
+        return Result(rows, flat.select(F.col("node").alias("node_id")).distinct(), flat.filter("edge_id IS NOT NULL").select("edge_id").distinct(), self.explain(q, al))
+
     def collect(self, q: Query, al) -> DataFrame:
-        """One row per root: each step's targets gathered; roots without any stay."""
-        rows = None
-        root = self.match(Query(q.start, where=q.where, items=[], order=[]), {q.start.alias: al[q.start.alias]}, [i.what for i in q.items if isinstance(i.what, Ref) and i.what.alias == q.start.alias])
+        """One row per root: each step's targets gathered, as far as they pass their filters;
+        roots without any stay."""
+        own = self._by_alias(q)
+        root = self.match(Query(q.start, where=own.get(q.start.alias), items=[], order=[]), {q.start.alias: al[q.start.alias]}, [i.what for i in q.items if isinstance(i.what, Ref) and i.what.alias == q.start.alias])
         rows, reach = root, root.select(col(q.start.alias, "k").alias("__root"), self._gid(al, q.start.alias).alias("__at"))
         for s in q.steps:
             edges = []
@@ -535,7 +636,7 @@ class Compiler:
                 if depth >= max(1, s.min_depth):
                     found.append(at)
             got = reduce(lambda a, b: a.unionByName(b), found).select("__root", "__at").distinct()
-            t = self.scan(s.target, al[s.target.alias], [])
+            t = self.scan(s.target, al[s.target.alias], [], own.get(s.target.alias))
             reach = got.join(t.select(self._gid(al, s.target.alias).alias("__gid")), F.col("__at") == F.col("__gid"), "left_semi")
             lists = reach.groupBy("__root").agg(F.sort_array(F.collect_list("__at")).alias(f"{s.target.alias}__targets"))
             rows = rows.join(lists, col(q.start.alias, "k") == F.col("__root"), "left").drop("__root")

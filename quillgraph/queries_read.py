@@ -193,7 +193,7 @@ def has_tag_query(spark, sf_dir):
     return Engine(build(spark, sf_dir)).rows(p)
 
 
-@query("response_page")
+@query("response_page", "SELECT n_nationkey AS k, n_name AS name FROM nation ORDER BY n_nationkey LIMIT 10 OFFSET 10")
 def response_page(spark, sf_dir):
     """Second page of ten rows by a plan-bound token."""
     e = Engine(build(spark, sf_dir))

@@ -1,9 +1,18 @@
-"""Schema documents.
-
-    schema notes strict
-    node Note { labels Note  properties { title: string  tags?: string[]  kind: enum page,block } }
-    edge contains { labels contains  from Note  to Note  hierarchy }
-    index notes_by_title on node Note field properties.title ordered asc
+"""Schema documents, one declaration or field a line.
+
+    schema "Harbour log" version "3" mode strict   // or: domain <uuid>
+    node Vessel labels Vessel,Ship {
+      name: string
+      flags?: string[]
+      kind: enum cargo,tug
+    }
+    edge berths from Vessel to Quay hierarchy
+    edge tows from Vessel to Vessel {
+      since: date optional
+    }
+    index vessels_by_name on node Vessel field properties.name ordered asc
+
+Words may be quoted; # and // begin comments; a line may end in a semicolon.
 """
 
 from __future__ import annotations
@@ -11,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import types as T
@@ -72,6 +83,8 @@ class IndexSpec:
 @dataclass
 class Document:
     name: str = ""
+    version: str = ""
+    domain: str = ""
     mode: str = "permissive"
     nodes: list[NodeType] = field(default_factory=list)
     edges: list[EdgeType] = field(default_factory=list)
@@ -81,114 +94,184 @@ class Document:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 
 
-_LINE = re.compile(r"[^{}\n]+|[{}]|\n")
+_COMMENT = re.compile(r'((?:[^"#/]|"(?:\\.|[^"\\])*"|/(?!/)|"(?=[^"]*$))*)')
+_WORD = re.compile(r'(?:"(?:\\.|[^"\\])*"|[^\s"])+')
+
+
+def _words(text: str) -> list[str]:
+    """A line's words; quotes hold words together and go."""
+    if text.count('"') - text.count('\\"') & 1:
+        raise ValueError("a quote does not end")
+    return [re.sub(r'(?<!\\)"', "", w).replace('\\"', '"') for w in _WORD.findall(text)]
+
+
+def _lines(text: str) -> Iterator[tuple[int, str]]:
+    for n, line in enumerate(text.split("\n"), 1):
+        line = _COMMENT.match(line)[1].strip().removesuffix(";").strip()
+        if line:
+            yield n, line
+
+
+def names(text: str) -> list[str]:
+    """A list of names: a,b or [a,b]."""
+    text = text.strip()
+    text = text[1:-1] if text[:1] == "[" and text[-1:] == "]" else text
+    return [x.strip() for x in text.split(",") if x.strip()]
+
+
+class _Options:
+    """The words after a declaration's name: flags, and options with a value."""
+
+    def __init__(self, words: list[str]):
+        self.words = words[::-1]
+
+    def __bool__(self):
+        return bool(self.words)
+
+    def word(self) -> str:
+        return self.words.pop()
+
+    def value(self, option: str) -> str:
+        if not self.words:
+            raise ValueError(f"{option} needs a value")
+        return self.words.pop()
+
+    def follows(self, *choices: str) -> bool:
+        return bool(self.words) and self.words[-1].lower() in choices
 
 
 def parse(text: str) -> Document:
     """A schema document; SchemaProblem with the line's number where it isn't one."""
-    doc, stack = Document(), []  # stack: (what, object)
-    number = 1
-    pending = ""
-    for tok in [*_LINE.findall(re.sub(r"#[^\n]*", "", text)), "\n"]:
-        if tok == "{":
-            stack.append(_open(doc, stack, pending.strip(), number))
-            pending = ""
-        else:
-            if pending.strip():
-                _statement(doc, stack, pending.strip(), number)
-            pending = ""
-            if tok == "}":
-                if not stack:
-                    raise SchemaProblem(f"line {number}: nothing to close")
-                stack.pop()
-            elif tok == "\n":
-                number += 1
+    doc, lines, block, number = Document(), _lines(text), None, 0
+    for number, line in lines:
+        try:
+            if block is not None:
+                if line == "}":
+                    block = None
+                else:
+                    block.append(parse_field(line))
+                continue
+            opens = line.endswith("{")
+            words = _words(line.removesuffix("{"))
+            what, rest = words[0].lower() if words else "", _Options(words[1:])
+            if what == "node":
+                doc.nodes.append(_node(rest))
+            elif what == "edge":
+                doc.edges.append(_edge(rest))
+            elif what == "index" and not opens:
+                doc.indexes.append(parse_index(words[1:]))
+            elif what == "schema" and not opens:
+                _header(doc, rest)
             else:
-                pending = tok
-    if stack:
+                raise ValueError("a schema, node, edge or index was expected")
+            if opens:
+                block = (doc.nodes if what == "node" else doc.edges)[-1].properties
+        except ValueError as e:
+            raise SchemaProblem(f"line {number}: {e}") from e
+    if block is not None:
         raise SchemaProblem(f"line {number}: a block does not end")
     return doc
 
 
-def _open(doc, stack, head, number):
-    words = head.split()
-    if not stack and len(words) == 2 and words[0] in ("node", "edge"):
-        made = NodeType(words[1], [words[1]]) if words[0] == "node" else EdgeType(words[1], [words[1]])
-        (doc.nodes if words[0] == "node" else doc.edges).append(made)
-        return words[0], made
-    if stack and stack[-1][0] in ("node", "edge") and len(words) == 1 and words[0] in BUCKETS:
-        return "fields", getattr(stack[-1][1], words[0])
-    raise SchemaProblem(f"line {number}: unexpected block {head!r}")
-
-
-def _statement(doc, stack, text, number):
-    words = text.split()
-    try:
-        if stack and stack[-1][0] == "fields":
-            stack[-1][1].append(parse_field(text))
-        elif stack:
-            _type_line(stack[-1][1], words)
-        elif words[0] == "schema":
-            doc.name = words[1]
-            if len(words) > 2:
-                doc.mode = words[2]
+def _header(doc: Document, rest: _Options) -> None:
+    while rest:
+        w = rest.word()
+        option = w.lower()
+        if option == "version":
+            doc.version = rest.value(option)
+        elif option == "mode":
+            doc.mode = rest.value(option).lower()
             if doc.mode not in MODES:
                 raise ValueError(f"mode {doc.mode} is not known")
-        elif words[0] == "index":
-            doc.indexes.append(parse_index(words[1:]))
+        elif option in ("domain", "domain_id", "domainid"):
+            doc.domain = str(uuid.UUID(rest.value(option)))
+        elif not doc.name:
+            doc.name = w
         else:
-            raise ValueError(f"{words[0]} is not known")
-    except (ValueError, IndexError) as e:
-        raise SchemaProblem(f"line {number}: {e or 'something is missing'}") from e
+            raise ValueError(f"option {w} is not known")
+
 
+def _named(rest: _Options, kind: str):
+    if not rest:
+        raise ValueError(f"{kind} needs a name")
+    return rest.word()
 
-def _type_line(made, words):
-    names = [w for w in re.split(r"[,\s]+", " ".join(words[1:])) if w]
-    if words[0] == "labels":
-        made.labels = names
-    elif isinstance(made, EdgeType) and words[0] in ("from", "to"):
-        setattr(made, "source" if words[0] == "from" else "target", names)
-    elif isinstance(made, EdgeType) and words == ["hierarchy"]:
-        made.hierarchy = True
-    else:
-        raise ValueError(f"{words[0]} is not known here")
+
+def _node(rest: _Options) -> NodeType:
+    name = _named(rest, "node")
+    out = NodeType(name, [name])
+    while rest:
+        w = rest.word()
+        if w.lower() != "labels":
+            raise ValueError(f"option {w} is not known")
+        out.labels = names(rest.value("labels"))
+    return out
+
+
+def _edge(rest: _Options) -> EdgeType:
+    name = _named(rest, "edge")
+    out = EdgeType(name, [name])
+    while rest:
+        w = rest.word()
+        option = w.lower()
+        if option in ("from", "to", "labels"):
+            setattr(out, {"from": "source", "to": "target"}.get(option, option), names(rest.value(option)))
+        elif option == "hierarchy":
+            out.hierarchy = True
+        else:
+            raise ValueError(f"option {w} is not known")
+    if not out.source or not out.target:
+        raise ValueError("an edge needs NAME from NODE to NODE")
+    return out
 
 
 def parse_field(text: str) -> FieldSpec:
-    m = re.fullmatch(r"\s*([^:\s?]+)(\?)?\s*:\s*([A-Za-z]+)(\[\])?\s*(.*?)\s*", text)
-    if not m:
+    name, colon, rest = text.partition(":")
+    words = _Options(_words(rest))
+    if not colon or not words:
         raise ValueError("a field needs NAME: TYPE")
-    out = FieldSpec(m[1], m[3].lower(), not m[2], bool(m[4]))
+    name, kind = name.strip(), words.word()
+    out = FieldSpec(name.removesuffix("?"), kind.removesuffix("[]").lower(), not name.endswith("?"), kind.endswith("[]"))
     if out.kind not in KINDS:
-        raise ValueError(f"type {m[3]} is not known")
-    words = m[5].split()
+        raise ValueError(f"type {kind} is not known")
+    if out.kind == "enum" and words and not words.follows("required", "optional", "enum"):
+        out.values = names(words.word())
     while words:
-        w = words.pop(0)
-        if w.lower() in ("required", "optional"):
-            out.required = w.lower() == "required"
-        elif w.lower() == "enum" or (out.kind == "enum" and not out.values):
-            out.kind, out.values = "enum", [v for v in (words.pop(0) if w.lower() == "enum" else w).split(",") if v]
+        w = words.word().lower()
+        if w in ("required", "optional"):
+            out.required = w == "required"
+        elif w == "enum":
+            out.kind, out.values = "enum", names(words.value(w))
         else:
             raise ValueError(f"option {w} is not known")
     return out
 
 
 def parse_index(words: list[str]) -> IndexSpec:
-    line = re.fullmatch(r"(\S+) on (node|edge) (\S+) field (\S+?)\.(\S+)((?: \S+)*)", " ".join(words), re.I)
-    if not line:
-        raise ValueError("an index needs NAME on node|edge TYPE field properties.NAME")
-    out = IndexSpec(line[1], line[2].lower(), line[3], line[4], line[5])
-    rest = line[6].lower().split()
+    rest = _Options(words)
+    out = IndexSpec(_named(rest, "index"))
     while rest:
-        w = rest.pop(0)
-        if w == "ordered":
+        w = rest.word()
+        option = w.lower()
+        if option == "on":
+            out.on = rest.value(option).lower()
+            if out.on not in ("node", "edge"):
+                raise ValueError("on needs node or edge")
+            out.type = rest.value(option)
+        elif option == "field":
+            path = [x.strip() for x in rest.value(option).split(".")]
+            if len(path) != 2 or not all(path):
+                raise ValueError("a field path is BUCKET.NAME")
+            out.bucket, out.field = path
+        elif option == "ordered":
             out.ordered = True
-            if rest and rest[0] in ("asc", "desc"):
-                out.direction = rest.pop(0)
-        elif w in ("unique", "required"):
-            setattr(out, w, True)
+            out.direction = rest.word().lower() if rest.follows("asc", "desc") else out.direction
+        elif option in ("unique", "required"):
+            setattr(out, option, True)
         else:
-            raise ValueError(f"index option {w} is not known")
+            raise ValueError(f"option {w} is not known")
+    if not out.type or not out.field:
+        raise ValueError("an index needs NAME on node|edge TYPE field properties.NAME")
     return out
 
 

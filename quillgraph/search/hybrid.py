@@ -28,17 +28,18 @@ def _best(side: DataFrame, key: str) -> DataFrame:
 
 def fuse(lexical: DataFrame, semantic: DataFrame, w: tuple[float, float] = (0.5, 0.5), constant: float = RANK_CONSTANT, require_both: bool = False, key: str = "node") -> DataFrame:
     """(key, lexical_rank, semantic_rank, score, rank), best first: score, then found by
-    both, then the better rank, then the key. A side of weight 0 still shows its nodes."""
+    both, then the better rank, then the key. A side of weight 0 still shows its nodes. Each
+    side counts to its MOST best nodes, so the ranks' window sees twice as many at most."""
     c = constant or RANK_CONSTANT
     if c < 0:
         raise ValueError("the rank constant is not negative")
     wl, ws = weights(*w)
-    a, b = _best(lexical, key).withColumnRenamed("rank", "lexical_rank"), _best(semantic, key).withColumnRenamed("rank", "semantic_rank")
+    a, b = (_best(side, key).orderBy("rank", key).limit(MOST).withColumnRenamed("rank", name) for side, name in ((lexical, "lexical_rank"), (semantic, "semantic_rank")))
     both = a.join(b, key, "inner" if require_both else "full_outer")
     part = lambda weight, col: F.coalesce(F.lit(weight) * (F.lit(1.0) / (F.lit(float(c)) + F.col(col))), F.lit(0.0))
     rows = both.withColumn("score", part(wl, "lexical_rank") + part(ws, "semantic_rank"))
     order = [F.desc("score"), F.desc(F.col("lexical_rank").isNotNull() & F.col("semantic_rank").isNotNull()), F.least("lexical_rank", "semantic_rank"), F.col(key)]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # candidates only: MOST a side
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def search(lexical: DataFrame, semantic: DataFrame | None, nodes: DataFrame | None = None, condition=None, page: int = 20, key: str = "node", **options):

@@ -3,16 +3,23 @@
 The index is a table of (doc, term, tf, positions), one shuffle to build; a search reads
 only its own terms' postings. Document frequencies come from the same few postings; the
 collection's size and mean length are one row. Boolean parts are evaluated per document
-from its matched postings, so a search is one aggregation by document.
+from its matched postings, so a search is one aggregation by document. Ranks are given to
+the first rows only: ``top`` is a distributed top-k, and no window sees all matches.
+
+``StoredIndex`` keeps the index as segments: postings in a fixed number of parts by hash of
+the term (a search reads its terms' parts alone), documents with their lengths, and the
+statistics of what lives after each segment. A document's newest segment decides whether it
+lives and which of its postings count; ``compact`` makes all of them one segment.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import places
 from ..functions import values as V
 from . import expression as X
 
@@ -70,17 +77,26 @@ class LexicalIndex:
         postings = words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"), F.sort_array(F.collect_set("field")).alias("fields"))
         return LexicalIndex(postings, lengths)
 
+    def statistics(self) -> DataFrame:
+        """(n, mean): how many documents, and their mean length."""
+        return self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        return self.postings.filter(F.col("term").isin(terms))
+
+    def top(self, text: str, size: int = PAGE, **options) -> DataFrame:
+        """(doc, score, matched, rank) of the best ``size`` matches, by (score descending, doc)."""
+        return ranked(self.search(text, **options).orderBy(F.desc("score"), "doc").limit(size), [F.desc("score"), F.col("doc")])
+
     def search(self, text: str, k1: float = K1, b: float = B, boost: float = PHRASE_BOOST) -> DataFrame:
-        """(doc, score, rank, matched): every match with a score, best first by (score
-        descending, doc)."""
+        """(doc, score, matched): every match with a score, in no order."""
         node = X.parse(text)
         scored, phrases = X.positive(node)
         terms = X.all_terms(node)
         spark = self.postings.sparkSession
         if not scored:  # nothing but NOT: all scores are 0, and such rows are left out
-            return spark.createDataFrame([], self.lengths.schema).select("doc", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.array().cast("array<string>").alias("matched"))
-        stats = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-        hit = self.postings.filter(F.col("term").isin(terms))
+            return spark.createDataFrame([], self.lengths.schema).select("doc", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"))
+        stats, hit = self.statistics(), self.hits(terms)
         held = hit.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("tf", "positions")))).alias("m"))
         dfs = hit.agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(terms)])
         rows = held.join(self.lengths, "doc").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(dfs))  # two one-row tables
@@ -95,8 +111,7 @@ class LexicalIndex:
         for p in phrases:
             score = score * F.when(self._phrase(p), F.lit(boost)).otherwise(F.lit(1.0))
         matched = F.filter(F.array(*[F.lit(t) for t in scored]), lambda t: F.map_contains_key("m", t))
-        out = rows.select("doc", score.alias("score"), matched.alias("matched")).filter("score > 0")
-        return ranked(out, "doc", [F.desc("score"), F.col("doc")])
+        return rows.select("doc", score.alias("score"), matched.alias("matched")).filter("score > 0")
 
     def _phrase(self, terms) -> Column:
         """Whether the terms stand one after another."""
@@ -126,22 +141,123 @@ def _all(cols) -> Column:
     return out
 
 
-def ranked(rows: DataFrame, key: str, order: list) -> DataFrame:
-    """Adds rank over all rows. A total rank is one ordered window; ask for top() where the
-    first rows are enough."""
+#: Parts that a stored segment's postings lie in.
+PARTS = 64
+
+
+class StoredIndex(LexicalIndex):
+    """An index in a folder that all executors see, one segment per ``add``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _segments(self) -> list[int]:
+        n = 0
+        while places.exists(self.spark, f"{self.path}/segment-{n}/done"):
+            n += 1
+        return list(range(n))
+
+    def _read(self, what: str) -> DataFrame:
+        found = [self._segment(n, what).withColumn("segment", F.lit(n)) for n in self._segments()]
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def _segment(self, n: int, what: str) -> DataFrame:
+        documents = self.spark.read.parquet(f"{self.path}/segment-{n}/documents")
+        if what == "documents":
+            return documents
+        # a segment of deletions has no postings, and so no file with their schema
+        return self.spark.read.schema(f"doc {dict(documents.dtypes)['doc']}, term string, tf bigint, positions array<int>, fields array<int>, part int").parquet(f"{self.path}/segment-{n}/{what}")
+
+    @property
+    def documents(self) -> DataFrame:
+        """(doc, length, deleted, revision, segment): every version that was added."""
+        return self._read("documents")
+
+    @property
+    def living(self) -> DataFrame:
+        """(doc, length, revision, segment): the newest version of each document that lives."""
+        newest = self.documents.groupBy("doc").agg(F.max(F.struct("segment", "length", "deleted", "revision")).alias("x")).select("doc", "x.*")
+        return newest.filter("NOT deleted").drop("deleted")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.living.select("doc", "length")
+
+    @property
+    def postings(self) -> DataFrame:
+        every = self._read("postings").drop("part")
+        return every.join(self.living.select("doc", "segment"), ["doc", "segment"], "left_semi") if len(self._segments()) > 1 or not self._clean() else every
+
+    def _clean(self) -> bool:
+        """Whether the only segment has no deleted documents."""
+        return self.spark.read.parquet(f"{self.path}/segment-0/documents").filter("deleted").isEmpty()
+
+    def statistics(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/segment-{self._segments()[-1]}/statistics").select("n", "mean")
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        parts = [r["part"] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_part("term").alias("part")).distinct().collect()]
+        found = []
+        for n in self._segments():  # the parts of the terms alone are read
+            found.append(self._segment(n, "postings").filter(F.col("part").isin(parts) & F.col("term").isin(terms)).withColumn("segment", F.lit(n)))
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        if len(found) == 1 and self._clean():
+            return out
+        return out.join(self.living.select("doc", "segment"), ["doc", "segment"], "left_semi")
+
+    @property
+    def revision(self) -> int:
+        """The newest revision that was added."""
+        return self.documents.agg(F.max("revision").alias("r")).first()["r"] if self._segments() else 0
+
+    def add(self, docs: DataFrame, key: str, text: str | None = None, fields: str | None = None, deleted: str | None = None, revision: int = 0) -> StoredIndex:
+        """A segment of new versions of documents; those whose ``deleted`` holds die."""
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        made = LexicalIndex.build(docs.filter(~gone), key, text, fields)
+        every = docs.select(F.col(key).alias("doc"), gone.alias("deleted")).join(made.lengths, "doc", "left")
+        self._write(made.postings, every.select("doc", F.coalesce("length", F.lit(0)).alias("length"), "deleted", F.lit(revision).cast("long").alias("revision")))
+        return self
+
+    def _write(self, postings: DataFrame, documents: DataFrame) -> None:
+        n = len(self._segments())
+        at = f"{self.path}/segment-{n}"
+        postings = postings.withColumn("part", _part("term"))
+        postings.repartition(PARTS, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{at}/postings")
+        documents.write.mode("overwrite").parquet(f"{at}/documents")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{at}/done")  # the segment counts from here on
+        LexicalIndex.statistics(self).write.mode("overwrite").parquet(f"{at}/statistics")
+
+    def compact(self) -> StoredIndex:
+        """The living versions as the one segment of a new folder beside this one."""
+        out = StoredIndex(self.spark, f"{self.path}-compact-{len(self._segments())}")
+        out._write(self.postings.drop("segment"), self.living.select("doc", "length", F.lit(False).alias("deleted"), "revision"))
+        return out
+
+
+def _part(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """Adds rank to the few rows of a page."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def page(rows: DataFrame, key: str = "doc", size: int = PAGE, offset: int = 0) -> DataFrame:
-    """One page of ranked rows (a distributed top-k, no total rank)."""
-    return rows.drop("rank").orderBy(F.desc("score"), key).offset(offset).limit(size)
+    """One page of scored rows (a distributed top-k, no total rank)."""
+    return rows.orderBy(F.desc("score"), key).offset(offset).limit(size)
 
 
 def filtered(rows: DataFrame, nodes: DataFrame, key: str, condition: Column, size: int = PAGE, examine: int | None = None) -> DataFrame:
-    """Ranked rows whose nodes pass a condition, up to a page; ``examine`` bounds how many
+    """Scored rows whose nodes pass a condition, up to a page; ``examine`` bounds how many
     candidates are looked at, as a bounded reader would."""
     if examine is not None:
-        rows = rows.filter(F.col("rank") <= examine)
+        rows = rows.orderBy(F.desc("score"), "doc").limit(examine)
     return rows.join(nodes.filter(condition).select(F.col(key).alias("doc")), "doc").orderBy(F.desc("score"), "doc").limit(size)
 
 

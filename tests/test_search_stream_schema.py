@@ -1,4 +1,7 @@
 import datetime
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from quillgraph.operators import catalogs, hierarchy, mutate, versions
 from quillgraph.schema import language, violations
 from quillgraph.search import expression as X
 from quillgraph.search import hybrid, vector
-from quillgraph.search.lexical import LexicalIndex, fields_of, fresh, live
+from quillgraph.search.lexical import LexicalIndex, StoredIndex, fields_of, fresh, live
 from quillgraph.sources.domains import blobs, merge_rows
 from quillgraph.streaming import changes as C
 from quillgraph.streaming import timing
@@ -28,17 +31,53 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, "doc string, revision int, text string, gone boolean")
 
 
-def test_lexical_ranking(spark):
-    d = docs(spark, [("a", 1, "raft raft database", False), ("b", 1, "raft database", False), ("c", 1, "semantic search", False)])
-    got = LexicalIndex.build(d, "doc", "text").search("raft database").orderBy("rank").collect()
-    assert [r.doc for r in got] == ["a", "b"] and got[0].score > got[1].score and got[0].matched == ["raft", "database"]
-    d = docs(spark, [("p", 1, "vector database search", False), ("s", 1, "vector search database", False)])
+def bm25(texts, terms, k1=1.2, b=0.75):
+    """Scores by the formula, over lists of words."""
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    out = {}
+    for doc, words in texts.items():
+        for t in terms:
+            df, tf = sum(t in w for w in texts.values()), words.count(t)
+            if tf:
+                out[doc] = out.get(doc, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
+    return out
+
+
+HARBOUR = {"log1": "Fog over the north quay, fog signal sounded", "log2": "North wind; quay closed", "log3": "Ferry late. Signal lamp broken", "log4": "The quay north of the lamp", "log5": "nothing to report"}
+
+
+def test_lexical_scores_follow_the_formula(spark):
+    d = docs(spark, [(k, 1, t, False) for k, t in HARBOUR.items()])
     i = LexicalIndex.build(d, "doc", "text")
-    phrase, term = i.search('"vector database"').collect(), i.search("vector database").orderBy("doc").collect()
-    assert [r.doc for r in phrase] == ["p"] and abs(phrase[0].score - 1.25 * term[0].score) < 1e-12
-    d = docs(spark, [("a", 1, "raft database", False), ("b", 1, "raft database", False), ("a", 2, None, True), ("b", 2, "semantic only", False), ("c", 3, "raft database", False)])
-    assert [r.doc for r in LexicalIndex.build(live(d, "doc", "revision", "gone"), "doc", "text").search("raft").collect()] == ["c"]
-    assert i.search("NOT vector").collect() == []
+    texts = {k: re.findall("[a-z0-9]+", t.lower()) for k, t in HARBOUR.items()}
+    for text, terms, keep in (("fog OR lamp", ["fog", "lamp"], None), ("quay signal", ["quay", "signal"], {"log1"}), ("north -closed", ["north"], {"log1", "log4"})):
+        want = {k: v for k, v in bm25(texts, terms).items() if keep is None or k in keep}
+        got = {r.doc: r.score for r in i.search(text).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    one = i.top('"north quay"', 3).collect()
+    assert [(r.doc, r.rank, r.matched) for r in one] == [("log1", 1, ["north", "quay"])] and abs(one[0].score - 1.25 * bm25(texts, ["north", "quay"])["log1"]) < 1e-12
+    both = sorted(bm25(texts, ["north", "quay"]).items(), key=lambda x: (-x[1], x[0]))
+    assert [r.doc for r in i.top("north OR quay", 2).collect()] == [k for k, _ in both[:2]]
+    assert i.search("NOT quay").collect() == []
+    again = docs(spark, [(k, 1, t, False) for k, t in HARBOUR.items()] + [("log2", 4, "calm", False), ("log4", 3, None, True), ("log4", 2, "quay quay", False)])
+    assert {r.doc for r in LexicalIndex.build(live(again, "doc", "revision", "gone"), "doc", "text").search("quay").collect()} == {"log1"}
+
+
+def test_stored_segments(spark, tmp_path):
+    """Versions and deletions over segments score as one index over what lives."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc string, text string, gone boolean")
+    index = StoredIndex(spark, f"{tmp_path}/ix").add(frame([(k, t, False) for k, t in HARBOUR.items()]), "doc", "text", revision=1)
+    assert index.revision == 1 and fresh(index.revision, 1) and not fresh(index.revision, 2)
+    index.add(frame([("log2", "Quay open, quay dry", False), ("log6", "fog again", False)]), "doc", "text", revision=2)
+    index.add(frame([("log1", None, True), ("log6", None, True)]), "doc", "text", deleted="gone", revision=3)
+    now = {k: t for k, t in HARBOUR.items() if k != "log1"} | {"log2": "Quay open, quay dry"}
+    plain = LexicalIndex.build(frame([(k, t, False) for k, t in now.items()]), "doc", "text")
+    for ix in (index, index.compact(), StoredIndex(spark, f"{tmp_path}/ix")):
+        for text in ("quay", "fog OR lamp OR wind", '"the lamp"', "quay -dry"):
+            assert {r.doc: round(r.score, 12) for r in ix.search(text).collect()} == {r.doc: round(r.score, 12) for r in plain.search(text).collect()}
+        assert ix.revision == 3 or ix.path.endswith("compact-3")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part", plan(index.hits(["quay"]))) and "Window" not in plan(index.search("quay"))
 
 
 def test_fields_keep_phrases_apart(spark):
@@ -54,26 +93,29 @@ def test_freshness():
     assert fresh(5, 5) and not fresh(4, 5) and fresh(4, 5, True) and not fresh(1, 5, True, 3)
 
 
-@pytest.mark.parametrize(
-    "lex, sem, options, want",
-    [
-        ([("a", 1), ("b", 3), ("c", 2)], [("a", 10), ("b", 1)], {"w": (0.6, 0.4)}, ["b", "a", "c"]),
-        ([("lexical", 1)], [("semantic", 1)], {}, ["lexical", "semantic"]),
-        ([("both", 2), ("lexical", 1)], [("both", 1), ("semantic", 2)], {"require_both": True}, ["both"]),
-        ([("lexical", 1)], [("semantic", 1)], {"w": (0, 1)}, ["semantic", "lexical"]),
-        ([("z", 1), ("b", 2), ("a", 2)], [("b", 2), ("a", 2)], {"w": (1, 0)}, ["z", "a", "b"]),
-        ([("one-source", 1), ("both", 1)], [("both", 99)], {"w": (1, 0)}, ["both", "one-source"]),
-        ([("a", 5), ("a", 3)], [("a", 4)], {}, ["a"]),
-    ],
-)
-def test_fusion(spark, lex, sem, options, want):
-    side = lambda rows: spark.createDataFrame(rows, "node string, rank long")
-    got = hybrid.fuse(side(lex), side(sem), **options).orderBy("rank").collect()
-    assert [r.node for r in got] == want
-    if want == ["b", "a", "c"]:
-        assert abs(got[0].score - (0.6 / 63 + 0.4 / 61)) < 1e-15
-    if want == ["a"]:
-        assert (got[0].lexical_rank, got[0].semantic_rank) == (3, 4)
+def fused(lex, sem, w=(0.5, 0.5), constant=60, require_both=False):
+    """Weighted reciprocal ranks by their definition."""
+    best = lambda rows: {k: min(r for x, r in rows if x == k) for k, _ in rows}
+    a, b = best(lex), best(sem)
+    keys = set(a) & set(b) if require_both else set(a) | set(b)
+    part = lambda side, k, weight: weight / sum(w) / (constant + side[k]) if k in side else 0.0
+    score = {k: part(a, k, w[0]) + part(b, k, w[1]) for k in keys}
+    order = sorted(keys, key=lambda k: (-score[k], not (k in a and k in b), min(a.get(k, 10**9), b.get(k, 10**9)), k))
+    return [(k, a.get(k), b.get(k), score[k]) for k in order]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fusion_same_as_its_definition(spark, seed):
+    rng = random.Random(seed)
+    names = [f"berth{n}" for n in range(14)]
+    side = lambda: [(rng.choice(names), rng.randrange(1, 12)) for _ in range(rng.randrange(1, 16))]
+    lex, sem = side(), side()
+    frame = lambda rows: spark.createDataFrame(rows, "node string, rank long")
+    for options in ({}, {"w": (3, 1)}, {"w": (0, 2)}, {"require_both": True, "constant": 5}):
+        got = hybrid.fuse(frame(lex), frame(sem), **options).orderBy("rank").collect()
+        want = fused(lex, sem, **options)
+        assert [(r.node, r.lexical_rank, r.semantic_rank) for r in got] == [x[:3] for x in want]
+        assert all(abs(r.score - x[3]) < 1e-15 for r, x in zip(got, want))
 
 
 def test_fusion_scalars(spark):
@@ -191,58 +233,67 @@ def test_changes_in_batch(spark):
     assert [timing.backoff(n) for n in (1, 2, 5, 20)] == [1, 2, 16, 300]
 
 
-SCHEMA = """schema notes strict   # a comment
-node Note {
-  labels Note
-  properties {
-    title: string required
-    tags: string[] optional
-    kind: enum page,journal,block
-  }
+SCHEMA = """schema "Port of call" version "2026.1" mode strict domain 11111111-2222-4333-8444-555555555555   # a comment
+// vessels and where they lie
+node Vessel labels Vessel,Ship {
+  title: string required;
+  flags: string[] optional
+  trade: enum tug,ferry,dredger
 }
-node Task { labels Task, Todo  
-  properties { done: bool } }
-edge contains { from Note
-  to Note
-  hierarchy
+node Quay labels [Quay]
+edge lies from Vessel to Quay {
+  metres?: float
 }
-edge hasTask { from Note
-  to Task
-  properties { confidence?: float } }
-index notes_by_title on node Note field properties.title ordered asc
-index tasks_by_done on node Task field properties.done
-index has_task_by_confidence on edge hasTask field properties.confidence ordered desc
+edge escorts from Ship to Vessel labels escorts,guards hierarchy
+
+index vessels_by_title on node Vessel field properties.title ordered asc unique
+index vessels_by_trade on node Vessel field properties.trade required
+index lies_by_metres on edge lies field properties.metres ordered desc
 """
 
 
 def test_schema_language(spark):
     d = language.parse(SCHEMA)
-    note = d.nodes[0]
-    assert d.mode == "strict" and [f.required for f in note.properties] == [True, False, True] and note.properties[2].values == ["page", "journal", "block"]
-    assert d.nodes[1].labels == ["Task", "Todo"] and d.edges[0].hierarchy and d.edges[1].target == ["Task"]
-    assert [(i.ordered, i.direction) for i in d.indexes] == [(True, "asc"), (False, ""), (True, "desc")]
-    assert language.problems(d) == [] and language.parse(SCHEMA).hash() == d.hash()
-    assert note.struct()["tags"].dataType.simpleString() == "array<string>"
-    for bad in ("node A {", "}", "what x", "schema a odd", "index x on node", "node A { properties { a string } }", "node A { properties { a: blob } }", "index i on node A field properties.x sideways"):
-        with pytest.raises(errors.SchemaProblem):
-            language.parse(bad)
-    odd = language.parse("node A { labels X }\nnode B { labels X }\nnode A { properties { t: string[] } }\nedge E { from Q }\nindex i on node B field properties.z\nindex i on node A field payload.z")
+    vessel = d.nodes[0]
+    assert (d.name, d.version, d.mode, d.domain) == ("Port of call", "2026.1", "strict", "11111111-2222-4333-8444-555555555555")
+    assert vessel.labels == ["Vessel", "Ship"] and d.nodes[1].labels == ["Quay"] and [f.required for f in vessel.properties] == [True, False, True] and vessel.properties[2].values == ["tug", "ferry", "dredger"]
+    assert [(e.source, e.target, e.hierarchy, e.labels) for e in d.edges] == [(["Vessel"], ["Quay"], False, ["lies"]), (["Ship"], ["Vessel"], True, ["escorts", "guards"])]
+    assert not d.edges[0].properties[0].required and [(i.ordered, i.direction, i.unique, i.required) for i in d.indexes] == [(True, "asc", True, False), (False, "", False, True), (True, "desc", False, False)]
+    assert language.problems(d) == [] and language.parse(SCHEMA).hash() == d.hash() != language.parse(SCHEMA.replace("strict", "warn")).hash()
+    assert vessel.struct()["flags"].dataType.simpleString() == "array<string>"
+    assert language.parse('node A {\n  s: string   # has "quoted # marks" // too\n}').nodes[0].properties[0].name == "s"
+
+
+@pytest.mark.parametrize(
+    "bad, line",
+    [
+        ("node A {", 1), ("}", 1), ("what x", 1), ("schema a mode odd", 1), ("schema a b", 1), ("schema a domain 12", 1), ('schema "a', 1), ("\n\nindex x on node", 3), ("node A {\n  a string\n}", 2), ("node A {\n  a: blob\n}", 2),
+        ("node A\nindex i on node A field properties.x sideways", 2), ("index i on part A field properties.x", 1), ("index i on node A field x", 1), ("edge e from A", 1), ("edge e from A to B upwards", 1), ("node", 1), ("node A {\n a: string maybe\n}", 2), ("node A {\n a: enum enum\n}", 2),
+    ],
+)
+def test_schema_errors_carry_their_line(bad, line):
+    with pytest.raises(errors.SchemaProblem, match=f"line {line}:"):
+        language.parse(bad)
+
+
+def test_schema_problems():
+    odd = language.parse("node A labels X\nnode B labels X\nnode A {\n t: string[]\n}\nedge E from Q to A\nindex i on node B field properties.z\nindex i on node A field payload.z")
     assert len(language.problems(odd)) == 6
 
 
 def test_violations(spark):
     d = language.parse(SCHEMA)
-    df = spark.createDataFrame([("1", "t", ["a"], "page", None), ("2", None, None, "odd", 5)], "id string, title string, tags array<string>, kind string, extra int")
+    df = spark.createDataFrame([("k1", "Osprey", ["x"], "ferry", None), ("k2", None, None, "raft", 7)], "id string, title string, flags array<string>, trade string, extra int")
     got = {(r.id, r.field, r.rule) for r in violations.of_fields(df, d.nodes[0], "id").collect()}
-    assert got == {("2", "title", "missing"), ("2", "kind", "mistyped"), ("2", "extra", "unknown")}
+    assert got == {("k2", "title", "missing"), ("k2", "trade", "mistyped"), ("k2", "extra", "unknown")}
     assert violations.of_fields(df, d.nodes[0], "id", "permissive").count() == 0
-    n = spark.createDataFrame([("1", ["Note", "Odd"]), ("2", ["Todo"])], "id string, labels array<string>")
-    assert [(r.id, r.field) for r in violations.of_labels(n, d).collect()] == [("1", "Odd")]
-    e = spark.createDataFrame([("e1", "1", "2"), ("e2", "1", "9")], "edge_id string, src string, dst string")
-    ends = spark.createDataFrame([("1", "Note"), ("2", "Note")], "id string, label string")
-    assert {(r.id, r.rule) for r in violations.of_ends(e, ends, d.edges[1]).collect()} == {("e1", "to"), ("e2", "to")}
-    u = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", None), ("4", None)], "id string, title string")
-    assert [r.id for r in violations.of_unique(u, d.nodes[0], "title", "id").collect()] == ["2"]
+    n = spark.createDataFrame([("k1", ["Vessel", "Whale"]), ("k2", ["Ship"])], "id string, labels array<string>")
+    assert [(r.id, r.field) for r in violations.of_labels(n, d).collect()] == [("k1", "Whale")]
+    e = spark.createDataFrame([("e1", "k1", "k2"), ("e2", "k1", "k9")], "edge_id string, src string, dst string")
+    ends = spark.createDataFrame([("k1", "Vessel"), ("k2", "Vessel")], "id string, label string")
+    assert {(r.id, r.rule) for r in violations.of_ends(e, ends, d.edges[0]).collect()} == {("e1", "to"), ("e2", "to")}
+    u = spark.createDataFrame([("k1", "x"), ("k2", "x"), ("k3", None), ("k4", None)], "id string, title string")
+    assert [r.id for r in violations.of_unique(u, d.nodes[0], "title", "id").collect()] == ["k2"]
 
 
 def test_journal_and_versions(spark):
