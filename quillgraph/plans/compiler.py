@@ -151,6 +151,8 @@ class Compiler:
         ps = q.patterns()
         for _ in range(2):
             for a, s, b in zip(ps, q.steps, ps[1:]):
+                if s.quantified or s.max_depth > 1 or s.min_depth == 0:  # several steps may end anywhere
+                    continue
                 for x, y, ends in ((a, b, 0), (b, a, 1)):
                     if al[x.alias].label is None:
                         got = set()
