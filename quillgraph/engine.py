@@ -47,6 +47,12 @@ class Engine:
     def rows(self, statement, params: dict | None = None) -> DataFrame:
         return self.execute(statement, params).rows
 
+    def transaction(self):
+        """Statements that the engine sees only once they are committed."""
+        from .transactions import Transaction
+
+        return Transaction(self)
+
     def script(self, text: str, params: dict | None = None, stop_on_error: bool = True) -> list:
         """Statements one after another; a failed one leaves the snapshot as it was."""
         out = []

@@ -184,6 +184,12 @@ def tags_all(tags: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.size(F.array_intersect(normal_tags(tags), F.array(*[F.lit(t) for t in want]))) == len(want), F.lit(False))
 
 
+def truncated(col: Column, unit: str) -> Column:
+    """A time or an ISO text cut to its year, month, week, day or hour, as ISO text."""
+    out = F.date_trunc(unit, col.cast("timestamp"))
+    return F.date_format(out, "yyyy-MM-dd" if unit in ("year", "month", "week", "day") else "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine likeness of two arrays in double; 0 where either has no length."""
     dbl = lambda v: F.transform(v, lambda x: x.cast("double"))

@@ -10,10 +10,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import places
 from ..catalog import EdgePart, Graph, NodeTable, node_id
 from ..errors import BindingProblem, BudgetExceeded, Conflict, Unsupported
 from ..functions import values as V
 from ..model import Delete, Insert, Item, LinkNodes, MergeNode, NodePattern, Query, Ref, SetFields
+from . import hierarchy
 
 
 def apply(graph: Graph, st, compiler):
@@ -238,6 +240,10 @@ def _link(graph, st: LinkNodes, compiler, spark):
     digest = F.sha2(F.concat_ws("|", F.lit(st.label), F.lit(str(out.revision)), F.col("src").cast("string"), F.col("dst").cast("string")), 256)
     new = new.withColumn("edge_id", digest)
     out.edges.setdefault(st.label, []).append(EdgePart(st.label, sl, tl, new, "src", "dst", edge_id=F.col("edge_id"), props=list(st.props)))
+    if compiler.schema is not None and any(e.hierarchy and st.label in (e.name, *e.labels) for e in compiler.schema.edges):
+        places.checkpoints(spark)
+        if not hierarchy.violations(hierarchy.edge_frame(out, st.label)).isEmpty():
+            raise Conflict(f"{st.label} is a hierarchy: a node would have two parents, or be below itself")
     rows = pairs.select(node_id(sl, F.col(pairs.columns[0])).alias("source"), node_id(tl, F.col(pairs.columns[1])).alias("target"))
     if st.items:
         keep = [i for i in st.items if i.what in (st.source, st.target)]
@@ -257,10 +263,14 @@ def overlay(base: DataFrame, key: str, deletes: DataFrame | None = None, puts: D
     return out
 
 
-def replace_references(edges: DataFrame, wanted: DataFrame, mode: str = "replace") -> DataFrame:
+def replace_references(edges: DataFrame, wanted: DataFrame, mode: str = "replace", label: str | None = None) -> DataFrame:
     """Edges (src, dst, edge_id) after a reference update to ``wanted`` (src, dst): replace,
     add or remove. Duplicate edges to one target collapse to the lowest edge_id; remove for
-    a source with a null target removes all its edges."""
+    a source with a null target removes all its edges. With a ``label`` (column label) only
+    edges that bear it are touched, and new ones bear it."""
+    if label is not None:
+        mine = replace_references(edges.filter(F.col("label") == label).select("src", "dst", "edge_id"), wanted, mode)
+        return edges.filter(~F.col("label").eqNullSafe(F.lit(label))).select("src", "dst", "edge_id", "label").unionByName(mine.withColumn("label", F.lit(label)))
     one = edges.groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
     want = wanted.select("src", "dst").distinct()
     fresh = want.filter("dst IS NOT NULL").join(one, ["src", "dst"], "left_anti").withColumn("edge_id", F.sha2(F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string")), 256))

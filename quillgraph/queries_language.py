@@ -250,3 +250,82 @@ def _by_name():
 @query("result_graph_edges", "SELECT DISTINCT 'IN_REGION|' || n_nationkey || '|' || n_regionkey AS edge_id FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT DISTINCT 'IN_NATION|' || s_suppkey || '|' || s_nationkey FROM supplier")
 def result_graph_edges(spark, sf_dir):
     return _engine(spark, sf_dir).execute("MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(s:Supplier) RETURN GRAPH r.r_name AS r").edges
+
+
+@query("condition_pattern", """WITH t AS (SELECT concat_ws('/', conv_id, turn) AS id, conv_id, turn, role FROM conversations),
+    e AS (SELECT a.id AS s, b.id AS d FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), w AS (SELECT s AS n FROM e UNION ALL SELECT d FROM e)
+    SELECT id AS node, (SELECT count(*) FROM w WHERE n = id) >= 2 AS holds FROM t WHERE role = 'user'""")
+def condition_pattern(spark, sf_dir):
+    """A rule's condition: at least two undirected neighbours of each node that changed."""
+    from .operators import conditions
+
+    t = read(spark, sf_dir, "conversations")
+    e = build(spark, sf_dir).parts("NEXT")[0].df.select("src", "dst", F.concat_ws("|", "src", "dst").alias("edge_id"), F.lit("NEXT").alias("label"))
+    bound = t.filter("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("node"))
+    return conditions.holds(bound, conditions.pattern(e, "both", "NEXT", bound), "count", ">=", 2)
+
+
+@query("condition_aggregate", "SELECT c_custkey AS node, coalesce(sum(o_totalprice), 0) > 500000 AS holds FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def condition_aggregate(spark, sf_dir):
+    from .operators import conditions
+
+    o = read(spark, sf_dir, "orders")
+    e = o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderkey").alias("edge_id"), F.lit("PLACED").alias("label"), "o_totalprice")
+    bound = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    return conditions.holds(bound, conditions.pattern(e, "out", "PLACED", bound), "sum", ">", 500000, F.col("o_totalprice"))
+
+
+@query("heartbeats", """WITH s AS (SELECT date_trunc('second', min(ts)) AS lo, max(ts) AS hi FROM events), b AS (SELECT DISTINCT CAST(floor((epoch_us(ts) - epoch_us(lo)) / 1e6 / 7200) AS BIGINT) AS n FROM events, s),
+    k AS (SELECT lo + n * INTERVAL 7200 SECOND AS tick, n - 1 AS n FROM s, range(1, (SELECT CAST(greatest(floor((epoch_us(hi) - epoch_us(lo)) / 1e6 / 7200), 1) AS BIGINT) FROM s) + 1) AS r(n))
+    SELECT tick FROM k WHERE n NOT IN (SELECT n FROM b)""")
+def heartbeats(spark, sf_dir):
+    """Beats of a watch over the events, one for every two quiet hours."""
+    from .streaming.delivery import heartbeats as beats
+
+    return beats(read(spark, sf_dir, "events"), "ts", 7200)
+
+
+@query("vector_index_topk", f"SELECT vec_id AS node, round(c, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings WHERE label = 2) ORDER BY c DESC, vec_id LIMIT 15")
+def vector_index_topk(spark, sf_dir):
+    """A search of one rule's part of a stored vector index."""
+    from . import places
+
+    e = read(spark, sf_dir, "embeddings")
+    index = vector.VectorIndex(spark, places.new_folder(spark, "vectors"))
+    for n in (1, 2):
+        index.write(e.filter(F.col("label") == n), f"label{n}", "vec_id", "embedding")
+    q = [float(x) for x in e.filter("vec_id = 0").first()["embedding"]]
+    return index.search("label2", q, 15).select("node", F.round("score", 6).alias("score"))
+
+
+@query("date_truncation", "SELECT event_id AS id, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') AS hour FROM events")
+def date_truncation(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), V.truncated(F.col("ts"), "month").alias("month"), V.truncated(F.col("ts"), "hour").alias("hour"))
+
+
+@query("blob_round_trip", "SELECT DISTINCT sha256(text) AS blob_id, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE text IS NOT NULL")
+def blob_round_trip(spark, sf_dir):
+    """Texts stored by content, twice, and read back: each is there once."""
+    from . import places
+    from .sources.domains import get_blobs, put_blobs
+
+    path, d = places.new_folder(spark, "blobs"), read(spark, sf_dir, "documents")
+    put_blobs(d.filter("doc_id % 2 = 0"), path, "text")
+    ids = put_blobs(d, path, "text")
+    return get_blobs(spark, path, ids).select("blob_id", F.octet_length("content").cast("long").alias("length"))
+
+
+@query("transaction_merge", "SELECT n_nationkey AS k, CASE n_nationkey WHEN 1 THEN 'MINE' WHEN 2 THEN 'THEIRS' ELSE n_name END AS name FROM nation")
+def transaction_merge(spark, sf_dir):
+    """Two writers of different nodes both stand; a third, of a node written since, is refused."""
+    e = _engine(spark, sf_dir)
+    mine, late = e.transaction(), e.transaction()
+    mine.execute("MATCH (n:Nation {n_nationkey: 1}) SET n.n_name = 'MINE' RETURN n.n_name")
+    late.execute("MATCH (n:Nation {n_nationkey: 2}) SET n.n_name = 'LATE' RETURN n.n_name")
+    e.execute("MATCH (n:Nation {n_nationkey: 2}) SET n.n_name = 'THEIRS' RETURN n.n_name")
+    mine.commit()
+    try:
+        late.commit()
+    except errors.Conflict:
+        return e.rows("MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name")
+    raise AssertionError("the late writer was not refused")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import places
+from ..errors import Conflict
 from ..functions import values as V
 from . import expression as X
 
@@ -215,6 +216,17 @@ class StoredIndex(LexicalIndex):
         """The newest revision that was added."""
         return self.documents.agg(F.max("revision").alias("r")).first()["r"] if self._segments() else 0
 
+    def answer(self, text: str, table_revision: int, size: int = PAGE, allow_stale: bool = False, max_lag: int | None = None) -> DataFrame:
+        """The best matches, if the index is as new as the table or may lag behind it; a
+        segment that comes in between is a Conflict, as parts would show two snapshots."""
+        seen = self._segments()
+        if not fresh(self.revision, table_revision, allow_stale, max_lag):
+            raise Conflict(f"the index is at {self.revision}, the table at {table_revision}")
+        out = self.top(text, size)
+        if self._segments() != seen:
+            raise Conflict("the index changed under the search")
+        return out
+
     def add(self, docs: DataFrame, key: str, text: str | None = None, fields: str | None = None, deleted: str | None = None, revision: int = 0) -> StoredIndex:
         """A segment of new versions of documents; those whose ``deleted`` holds die."""
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)

@@ -80,3 +80,20 @@ def embed(text: Column, dims: int = 64) -> Column:
         hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == i, F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0)
     )
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), cell)
+
+
+class VectorIndex:
+    """Vectors of embedding rules in a folder, one part a rule: a search reads its rule's."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, vectors: DataFrame, rule: str, key: str = "node", vector: str = "vector") -> VectorIndex:
+        """Replaces a rule's vectors; those of other rules stay."""
+        rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("node"), F.col(vector).alias("vector"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/rule={rule}")
+        return self
+
+    def search(self, rule: str, query: list[float], k: int = 10, min_score: float | None = None) -> DataFrame:
+        """The rule's k nearest, as ``top_k`` gives them."""
+        return top_k(self.spark.read.parquet(f"{self.path}/rule={rule}"), query, k, min_score, "node", "vector")

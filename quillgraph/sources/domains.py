@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import places
 from ..catalog import Graph
 from ..errors import Conflict
 
@@ -42,10 +43,35 @@ def import_domain(spark: SparkSession, path: str) -> Graph:
     return g
 
 
-def export_space(graphs: dict[str, Graph], path: str) -> None:
-    """Every domain of a space below one folder."""
-    for name, g in graphs.items():
-        export_domain(g, f"{path}/domain={name}", name)
+def export_space(graphs: dict[str, Graph], path: str, space: str = "default") -> dict:
+    """Every domain of a space below one folder, and a manifest of the space."""
+    spark = next(iter(next(iter(graphs.values())).nodes.values())).df.sparkSession
+    manifest = {"space": space, "domains": {name: export_domain(g, f"{path}/domain={name}", name)["revision"] for name, g in graphs.items()}}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return manifest
+
+
+def import_space(spark: SparkSession, path: str) -> dict[str, Graph]:
+    """Every domain that a space's manifest names."""
+    m = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    return {name: import_domain(spark, f"{path}/domain={name}") for name in m["domains"]}
+
+
+def put_blobs(contents: DataFrame, path: str, column: str = "content") -> DataFrame:
+    """Stores contents under their SHA-256, each once; those that are there already stay.
+    (blob_id, length) of all that were given."""
+    spark = contents.sparkSession
+    rows = contents.select(F.col(column).cast("binary").alias("content")).filter("content IS NOT NULL").withColumn("blob_id", F.sha2("content", 256))
+    given = rows.select("blob_id", F.octet_length("content").alias("length")).distinct()
+    if places.exists(spark, path):
+        rows = rows.join(spark.read.schema("blob_id string").parquet(path), "blob_id", "left_anti")
+    rows.groupBy("blob_id").agg(F.first("content").alias("content")).write.mode("append").parquet(path)
+    return given
+
+
+def get_blobs(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(blob_id, content) of ids (column blob_id)."""
+    return spark.read.schema("blob_id string, content binary").parquet(path).join(ids.select("blob_id").distinct(), "blob_id", "left_semi")
 
 
 def merge_rows(base: DataFrame, incoming: DataFrame, key: str, mode: str = "upsert", preserve_ids: bool = True, dry_run: bool = False):
