@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..places import delete, shared_folder
+
 #: Bytes per Arrow batch: texts may be long, so a bound on rows alone doesn't bound memory.
 BATCH_BYTES = 4 << 20
 
@@ -30,21 +31,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, one of our own in local mode;
-    on a cluster an error, as executors could not see it."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))  # driver and executors are one process
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
 def sifted(df: DataFrame, key: str, ids: Column, of: DataFrame) -> DataFrame:
     """Adds maybe: false where a row's ``key`` is surely none of the ids (longs) of a frame.
 
@@ -65,15 +51,10 @@ def clean_up(spark: SparkSession) -> int:
     read them, and what is yet to be computed from those, can't be used any more."""
     n = len(_kept)
     while _kept:
-        _delete(spark, _kept.pop())
+        delete(spark, _kept.pop())
     return n
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Scratch:
     """Tables written to the shared folder; all go when the block ends but those kept.
 
@@ -82,7 +63,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.paths, self.made = spark, {}, 0
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         self.made += 1
@@ -97,7 +78,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path and self.paths.pop(path, None):
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Exempt a written table from the clean-up; its files stay for its readers, until
@@ -111,5 +92,5 @@ class Scratch:
 
     def __exit__(self, *exc):
         for path in list(self.paths):
-            _delete(self.spark, path)
+            delete(self.spark, path)
         self.paths.clear()
