@@ -63,3 +63,17 @@ def test_token_counts(spark):
         assert (r.docs_over, r.truncated_total) == (sum(x > limit for x in lens), sum(min(x, limit) for x in lens))
     assert token_counts.length_at_quantile(sums, 0.5).first().n_tokens == lens[(len(lens) + 1) // 2 - 1]
     assert token_counts.suffix_sums(token_counts.histogram(df.limit(0))).collect() == []
+
+
+def test_counts_and_pieces_of_repeats_and_long_texts(spark):
+    long = " ".join(f"word{i % 977}" for i in range(170_000))  # over 1 MB
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (2, None), (3, ""), (4, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = lambda t: len(byte_bpe.library().encode(t or "", add_special_tokens=False).ids)
+    want = {}
+    for _, t in rows:
+        want[n(t)] = want.get(n(t), 0) + 1
+    assert {r.n_tokens: r.n_docs for r in token_counts.histogram(docs).collect()} == want
+    pieces = packing.pack(docs).collect()
+    assert sum(p.length for p in pieces) == sum(n(t) + 1 for _, t in rows) and max(p.offset + p.length for p in pieces) <= 2048
+    assert sum(p.length for p in pieces if p.doc_id == 4) == n(long) + 1

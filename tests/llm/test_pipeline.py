@@ -8,6 +8,7 @@ from quillgraph.llm._shared import table
 
 from .test_chunk_dedup import brute as brute_cut
 from .test_ngram_join import brute as brute_groups
+from .test_toxicity import naive_score
 
 
 def write(spark, folder, rng):
@@ -43,8 +44,7 @@ def test_stages_same_as_brute_force(spark, tmp_path):
     a = tox(spark, docs, str(tmp_path))
     assert a.columns == docs.columns
     model = toxicity.fit(docs, table(spark, str(tmp_path), "labels"))
-    sentences = toxicity._scorer(model)
-    chance = {i: toxicity._noisy_or([c for _, _, c in sentences(t or "")], model) for i, t in before.items()}
+    chance = {i: naive_score(t, model) for i, t in before.items()}
     kept = {r.doc_id: r.text for r in a.collect()}
     assert kept == {i: t for i, t in before.items() if chance[i] < 0.7}
     toxic = {i for i, t in before.items() if t and "grubly" in t}
@@ -87,3 +87,48 @@ def check_pieces(rows, texts, size=2048):
         full[r.sequence_id] = r.offset + r.length
     assert max(full.values()) <= size
     return full
+
+
+def test_odd_tables_go_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, empty and long texts, clashing columns; then an empty table."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    same, long = words(80), words(200_000)  # the latter over 1 MB
+    rows = [(i, words(60)) for i in range(30)] + [(7, words(50)), (7, words(50)), (100, same), (101, same), (101, same), (None, same), (None, words(40)), (None, None), (102, ""), (103, None), (104, long)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__n` int, r string, maybe boolean, `group` long, rows int, k long, spans int, score double"
+    more = (1, "x", None, 3, 4, 5, 6, 0.5)
+    for part in ("documents", "empty"):
+        folder = tmp_path / part
+        docs = [(i, t, "en", "s", len(t or ""), *more) for i, t in rows] if part == "documents" else []
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    at = table(spark, str(tmp_path / "documents"), "documents")
+    for n, (name, stage) in enumerate(cp.STAGES[:3]):
+        out = stage(spark, at, str(tmp_path / "documents"))
+        assert out.columns == at.columns
+        out.write.parquet(f"{tmp_path}/out{n}")
+        at = spark.read.parquet(f"{tmp_path}/out{n}")
+        left = [(r.doc_id, r.text) for r in at.collect()]
+        if name == "ngram_jaccard_join":
+            ids = [i for i, _ in left if i is not None]
+            assert len(ids) == len(set(ids)) and set(ids) == {i for i, _ in rows if i is not None} - {101} and sum(i is None for i, _ in left) == 3
+    assert dict(left)[104] == long and dict(left)[100] == same and (None, None) in left
+    check = {}
+    for r in cp.run(spark, str(tmp_path / "documents")).collect():
+        check.setdefault(r.sequence_id, []).append(r.offset + r.length)
+    assert check and max(map(max, check.values())) <= 2048
+    assert cp.run(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_kept_tables_can_be_cleared(spark, tmp_path):
+    import os
+
+    from quillgraph import llm
+    from quillgraph.llm import _shared
+
+    llm.clean_up(spark)
+    write(spark, str(tmp_path), random.Random(3))
+    cp.run(spark, str(tmp_path)).count()
+    paths = [p.removeprefix("file:") for p in _shared._kept]
+    assert paths and all(os.path.exists(p) for p in paths)
+    assert llm.clean_up(spark) == len(paths) and not any(os.path.exists(p) for p in paths)

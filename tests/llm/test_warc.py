@@ -67,3 +67,10 @@ def test_files_on_disk_and_empty_table(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert [(r.page_id, bytes(r.payload)) for r in warc.read(files, "path").collect()] == [(1, b"abc")]
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string, digest int")).collect() == []
+
+
+def test_clashing_names_and_long_payloads(spark):
+    rows = [(1, "u", "a", "d", 5, "x"), (2, "u", "a", None, None, None), (3, "u", "z" * 3_000_000, "d", 1, "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first int, payload string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {1: (1, "response", None), 2: (1, "revisit", 1), 3: (3_000_000, "response", None)}
