@@ -2,8 +2,12 @@
 near copies stays, passages that repeat are cut, the rest is packed into sequences.
 
 Every stage works on all that the stage before kept. Rows whose doc_id is null can't be
-told apart by it: the near-copy stage keeps them. Of rows that repeat a doc_id it keeps
-one (the largest hash of the text, so a choice that any run repeats).
+told apart by it: the near-copy stage keeps them, and later passages that they share with
+others are cut. Of rows that repeat a doc_id it keeps one (the largest hash of the text, so
+a choice that any run repeats). Null and empty texts are neither toxic nor copies: they stay,
+and are packed as their end id alone. Texts of any length are read whole. All but the last
+stage return the columns of their input, whatever further columns it has and however those
+are named; n_chars follows the text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
