@@ -412,24 +412,29 @@ class Compiler:
         return reduce(lambda a, b: a.unionByName(b), out)
 
     def walk(self, df, previous, s: Step, al, need, where, q, done) -> DataFrame:
-        """Depths of a bounded walk: unrolled joins over whole-graph ids, visited ids in an
-        array; the target's label and filters are met where a depth ends."""
+        """Depths of a bounded walk: unrolled joins, visited ids in an array; the target's label
+        and filters are met where a depth ends. Where the edges stay within one label the
+        joins are on its native keys, else on whole-graph ids."""
+        label = al[previous.alias].label
+        native = label is not None and not q.path and al[s.target.alias].label == label and all(p.source == p.target == label for p, _ in self._sides(s))
+        whole = lambda x: node_id(label, x) if native else x
         edges = []
         for part, rev in self._sides(s):
             e = self._edge_rows(s, part, rev, [], _Alias("edge"), part.source, part.target, s.direction == "both")
             a, b = (part.target, part.source) if rev else (part.source, part.target)
-            edges.append(e.select(node_id(a, F.col("__own")).alias("__a"), node_id(b, F.col("__other")).alias("__b"), F.col(f"`{s.alias}__id`").alias("__e")))
+            own, other = (F.col("__own"), F.col("__other")) if native else (node_id(a, F.col("__own")), node_id(b, F.col("__other")))
+            edges.append(e.select(own.alias("__a"), other.alias("__b"), F.col(f"`{s.alias}__id`").alias("__e")))
         e = reduce(lambda a, b: a.unionByName(b), edges)
         carried = df.columns
-        seen = F.col("__nodes") if q.path else F.array(*[self._gid(al, d) for d in done])
-        at = df.withColumn("__at", self._gid(al, previous.alias)).withColumn("__seen", seen)
+        seen = F.col("__nodes") if q.path else F.array(*([col(d, "k") for d in done if al[d].label == label] if native else [self._gid(al, d) for d in done]))
+        at = df.withColumn("__at", col(previous.alias, "k") if native else self._gid(al, previous.alias)).withColumn("__seen", seen)
         found = []
         for depth in range(1, s.max_depth + 1):
             at = at.join(e, F.col("__at") == F.col("__a")).drop("__a")
             if q.mode == "walk":
                 at = at.filter(~F.array_contains("__seen", F.col("__b")))
             at = at.withColumn("__seen", F.concat("__seen", F.array("__b"))).withColumn("__at", F.col("__b"))
-            at = at.withColumn("__nodes", F.concat("__nodes", F.array("__b"))).withColumn("__edges", F.concat("__edges", F.array("__e"))).drop("__b", "__e")
+            at = at.withColumn("__nodes", F.concat("__nodes", F.array(whole(F.col("__b"))))).withColumn("__edges", F.concat("__edges", F.array("__e"))).drop("__b", "__e")
             if depth >= max(1, s.min_depth):
                 found.append(at)
         rows = reduce(lambda a, b: a.unionByName(b), found)
@@ -437,7 +442,9 @@ class Compiler:
         nodes = self.scan(s.target, target, need[s.target.alias], where)
         gid = self._gid(al, s.target.alias)
         plain = target.label is not None and not (s.target.props or s.target.ids is not None or where is not None or len(s.target.labels) > 1 or need[s.target.alias])
-        if plain and self.graph.trusted:
+        if native:
+            rows = rows.withColumn(f"{s.target.alias}__k", F.col("__at")) if plain and self.graph.trusted else rows.join(nodes, F.col("__at") == far_key_of(s.target.alias))
+        elif plain and self.graph.trusted:
             kind = self.table(target.label).columns()[self.table(target.label).key]
             rows = rows.filter(F.startswith("__at", F.lit(f"{target.label}:"))).withColumn(f"{s.target.alias}__k", F.substring(F.col("__at"), len(target.label) + 2, 1 << 30).cast(kind))
         else:

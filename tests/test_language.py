@@ -124,6 +124,8 @@ def test_walks(fleet):
     paths = e.rows("MATCH p = (a:Vessel)-[:TOWS*1..5]->(b:Vessel) RETURN p").collect()
     assert all(len(set(r.p.nodes)) == len(r.p.nodes) for r in paths) and max(len(r.p.edges) for r in paths) == 2
     assert rows(e, "MATCH (a:Vessel {id: 'v1'})-[:TOWS*0..1]->(b:Vessel) RETURN b.id AS b") == [("v3",), ("v3",)]
+    out = e.execute("MATCH (a:Vessel {id: 'v1'})-[:TOWS*2]->(b:Vessel) RETURN GRAPH a.id AS a, b.id AS b")
+    assert sorted(r.node_id for r in out.nodes.collect()) == ["Vessel:v1", "Vessel:v3", "Vessel:v4"] and sorted(r.edge_id for r in out.edges.collect()) == ["t1", "t2", "t5"]
 
 
 def test_gathered_targets_keep_their_filters(fleet):
