@@ -275,14 +275,14 @@ def condition_aggregate(spark, sf_dir):
     return conditions.holds(bound, conditions.pattern(e, "out", "PLACED", bound), "sum", ">", 500000, F.col("o_totalprice"))
 
 
-@query("heartbeats", """WITH s AS (SELECT date_trunc('second', min(ts)) AS lo, max(ts) AS hi FROM events), b AS (SELECT DISTINCT CAST(floor((epoch_us(ts) - epoch_us(lo)) / 1e6 / 7200) AS BIGINT) AS n FROM events, s),
-    k AS (SELECT lo + n * INTERVAL 7200 SECOND AS tick, n - 1 AS n FROM s, range(1, (SELECT CAST(greatest(floor((epoch_us(hi) - epoch_us(lo)) / 1e6 / 7200), 1) AS BIGINT) FROM s) + 1) AS r(n))
+@query("heartbeats", """WITH s AS (SELECT date_trunc('second', min(ts)) AS lo, max(ts) AS hi FROM events), b AS (SELECT DISTINCT CAST(floor((epoch_us(ts) - epoch_us(lo)) / 1e6 / 60) AS BIGINT) AS n FROM events, s),
+    k AS (SELECT lo + n * INTERVAL 60 SECOND AS tick, n - 1 AS n FROM s, range(1, (SELECT CAST(greatest(floor((epoch_us(hi) - epoch_us(lo)) / 1e6 / 60), 1) AS BIGINT) FROM s) + 1) AS r(n))
     SELECT tick FROM k WHERE n NOT IN (SELECT n FROM b)""")
 def heartbeats(spark, sf_dir):
-    """Beats of a watch over the events, one for every two quiet hours."""
+    """Beats of a watch over the events, one for every quiet minute."""
     from .streaming.delivery import heartbeats as beats
 
-    return beats(read(spark, sf_dir, "events"), "ts", 7200)
+    return beats(read(spark, sf_dir, "events"), "ts", 60)
 
 
 @query("vector_index_topk", f"SELECT vec_id AS node, round(c, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings WHERE label = 2) ORDER BY c DESC, vec_id LIMIT 15")
