@@ -58,6 +58,7 @@ def fields_of(df: DataFrame, skip: list[str] = ()) -> Column:
 class LexicalIndex:
     postings: DataFrame  # doc, term, tf, positions, fields
     lengths: DataFrame  # doc, length
+    words: DataFrame | None = None  # doc, term, at, field: a row a word
 
     @staticmethod
     def build(docs: DataFrame, key: str, text: str | None = None, fields: str | None = None) -> LexicalIndex:
@@ -75,8 +76,7 @@ class LexicalIndex:
             start = F.aggregate(F.slice("fields", F.lit(1), F.col("field")), F.lit(0), lambda n, f: n + F.size(f["tokens"]) + F.lit(FIELD_GAP))
             one = d.select("doc", "fields", F.posexplode("fields").alias("field", "f")).withColumn("start", start)
             words = one.select("doc", "field", "start", F.posexplode("f.tokens").alias("at0", "term")).withColumn("at", F.col("start") + F.col("at0"))
-        postings = words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"), F.sort_array(F.collect_set("field")).alias("fields"))
-        return LexicalIndex(postings, lengths)
+        return LexicalIndex(_postings(words, "doc", "term"), lengths, words)
 
     def statistics(self) -> DataFrame:
         """(n, mean): how many documents, and their mean length."""
@@ -142,8 +142,14 @@ def _all(cols) -> Column:
     return out
 
 
-#: Parts that a stored segment's postings lie in.
-PARTS = 64
+def _postings(words: DataFrame, *by: str) -> DataFrame:
+    one = words.groupBy(*by).agg(F.collect_list(F.struct("at", "field")).alias("w"))
+    return one.select(*by, F.size("w").cast("long").alias("tf"), F.sort_array("w.at").alias("positions"), F.array_distinct(F.sort_array("w.field")).alias("fields"))
+
+
+#: Parts that a stored segment's postings lie in, by term, and slices of a part by document:
+#: a term that every document holds is written by several tasks.
+PARTS, SLICES = 16, 16
 
 
 class StoredIndex(LexicalIndex):
@@ -231,15 +237,18 @@ class StoredIndex(LexicalIndex):
         """A segment of new versions of documents; those whose ``deleted`` holds die."""
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         made = LexicalIndex.build(docs.filter(~gone), key, text, fields)
-        every = docs.select(F.col(key).alias("doc"), gone.alias("deleted")).join(made.lengths, "doc", "left")
-        self._write(made.postings, every.select("doc", F.coalesce("length", F.lit(0)).alias("length"), "deleted", F.lit(revision).cast("long").alias("revision")))
+        length = F.size(V.tokens(F.coalesce(F.col(text), F.lit("")))) if text is not None else F.aggregate(fields, F.lit(0), lambda n, f: n + F.size(V.tokens(f["text"])))
+        every = docs.select(F.col(key).alias("doc"), gone.alias("deleted"), F.when(~gone, length).alias("length"))
+        words = made.words.select("doc", "term", "at", "field", _part("term").alias("part"), F.pmod(F.xxhash64("doc"), F.lit(SLICES)).alias("slice"))
+        # one shuffle; in sorted order the words of a posting come together
+        words = words.repartition("part", "slice").sortWithinPartitions("part", "slice", "term", "doc")
+        self._write(_postings(words, "part", "slice", "term", "doc").drop("slice"), every.select("doc", F.coalesce("length", F.lit(0)).alias("length"), "deleted", F.lit(revision).cast("long").alias("revision")))
         return self
 
     def _write(self, postings: DataFrame, documents: DataFrame) -> None:
         n = len(self._segments())
         at = f"{self.path}/segment-{n}"
-        postings = postings.withColumn("part", _part("term"))
-        postings.repartition(PARTS, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{at}/postings")
+        postings.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{at}/postings")
         documents.write.mode("overwrite").parquet(f"{at}/documents")
         self.spark.range(1).write.mode("overwrite").parquet(f"{at}/done")  # the segment counts from here on
         LexicalIndex.statistics(self).write.mode("overwrite").parquet(f"{at}/statistics")
@@ -247,7 +256,7 @@ class StoredIndex(LexicalIndex):
     def compact(self) -> StoredIndex:
         """The living versions as the one segment of a new folder beside this one."""
         out = StoredIndex(self.spark, f"{self.path}-compact-{len(self._segments())}")
-        out._write(self.postings.drop("segment"), self.living.select("doc", "length", F.lit(False).alias("deleted"), "revision"))
+        out._write(self.postings.drop("segment").withColumn("part", _part("term")).repartition("part", F.pmod(F.xxhash64("doc"), F.lit(SLICES))), self.living.select("doc", "length", F.lit(False).alias("deleted"), "revision"))
         return out
 
 
