@@ -47,6 +47,10 @@ class Engine:
     def rows(self, statement, params: dict | None = None) -> DataFrame:
         return self.execute(statement, params).rows
 
+    def rows_of(self, query: Query) -> DataFrame:
+        """The rows of a logical query."""
+        return self.compiler().run(query).rows
+
     def transaction(self):
         """Statements that the engine sees only once they are committed."""
         from .transactions import Transaction

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Graph
@@ -79,13 +79,16 @@ def same_snapshot(before: dict, after: dict) -> None:
 def batch(graph: Graph, operations: list[dict], compiler_of) -> Graph:
     """An ordered list of mutations in one go; all or nothing, as the graph is a snapshot.
 
-    Kinds: create_node, update_node, upsert_node, delete_node, create_edge, update_edge,
+    A ``mask`` of update_node or upsert_node names the fields that it writes: others of
+    ``fields`` are ignored, and a named one that ``fields`` lacks is cleared. Kinds: create_node, update_node, upsert_node, delete_node, create_edge, update_edge,
     delete_edge, replace_references, move_subtree, reorder_children.
     """
     from . import mutate
 
     for op in operations:
         kind = op["op"]
+        if kind in ("update_node", "upsert_node") and op.get("mask") is not None:
+            op = {**op, "fields": {name: op["fields"].get(name) for name in op["mask"]}}  # noqa: PLW2901
         apply = lambda st, g=graph: mutate.apply(g, st, compiler_of(g))[0]
         node = lambda alias="n", op=op: NodePattern(alias, [op["label"]], op.get("match", {}))
         if kind == "create_node":
@@ -149,7 +152,43 @@ def _reshape(graph: Graph, op: dict) -> Graph:
     return out
 
 
-def context(rows: DataFrame, most: int = 500) -> DataFrame:
+#: Rows that a context query may ask for.
+CONTEXT_ROWS = 500
+
+
+def context_query(engine, text: str, bound: str, changed: DataFrame, most: int = CONTEXT_ROWS, params: dict | None = None) -> DataFrame:
+    """What a read says about each node that changed (column node), its rows by ``bound``.
+
+    The statement only reads, names a label for every edge, uses the alias ``bound`` and asks
+    for CONTEXT_ROWS rows at most; its FETCH FIRST counts for each node. A node with more
+    than ``most`` rows is an error, not a cut."""
+    from dataclasses import replace
+
+    from ..errors import BindingProblem, BudgetExceeded
+    from ..gql import parse
+
+    q = parse(text, params)
+    if not isinstance(q, Query):
+        raise Unsupported("a context query only reads")
+    if q.limit is None or q.limit > CONTEXT_ROWS:
+        raise BudgetExceeded(f"a context query asks for {CONTEXT_ROWS} rows at most, by FETCH FIRST")
+    if any(not s.labels for s in q.steps):
+        raise Unsupported("the edges of a context query have labels")
+    if bound not in [p.alias for p in q.patterns()]:
+        raise BindingProblem(f"a context query uses {bound}")
+    names = [i.output for i in q.items]
+    more = [Item(Ref(bound, "node_id"), "__bound"), *[Item(r, f"__o{n}") for n, (r, _) in enumerate(q.order)]]
+    rows = engine.rows_of(replace(q, items=[*q.items, *more], order=[], limit=None, offset=None))
+    rows = rows.join(changed.select(F.col("node").alias("__bound")).distinct(), "__bound", "left_semi")
+    by = [F.col(f"__o{n}").desc_nulls_last() if down else F.col(f"__o{n}").asc_nulls_last() for n, (_, down) in enumerate(q.order)] or [F.lit(0)]
+    first = q.offset or 0
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__bound").orderBy(*by))).filter((F.col("__n") > first) & (F.col("__n") <= first + q.limit))
+    if q.limit > most and not rows.filter(F.col("__n") > first + most).isEmpty():
+        raise BudgetExceeded(f"a node has more than {most} rows")
+    return rows.select(F.col("__bound").alias("bound"), *[F.col(f"`{n}`") for n in names])
+
+
+def context(rows: DataFrame, most: int = CONTEXT_ROWS) -> DataFrame:
     """A bounded context read: more than ``most`` rows are an error, not a cut."""
     from ..errors import BudgetExceeded
 

@@ -80,6 +80,27 @@ def fan_out(rows: DataFrame, values, name: str = "item") -> DataFrame:
     return rows.withColumn(name, F.explode(values)) if kind.startswith("array") else rows.withColumn(name, values).filter(F.col(name).isNotNull())
 
 
+def shape_problem(col, shape: dict):
+    """What keeps a JSON text from a shape (type, and required fields, which are there and
+    not null), null where nothing does. A type that isn't known asks for nothing."""
+    value = F.try_parse_json(col)
+    kind = F.schema_of_variant(value)
+    # The types of a shape, as a variant names them.
+    starts = {"object": ["OBJECT"], "array": ["ARRAY"], "string": ["STRING"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"]}
+    found = F.when(value.isNull(), "not JSON")
+    if shape.get("type") in starts:
+        fits = F.lit(False)
+        for s in starts[shape["type"]]:
+            fits = fits | F.startswith(kind, F.lit(s))
+        found = found.when(~fits, f"not of type {shape['type']}")
+    if "required" in shape:
+        found = found.when(~F.startswith(kind, F.lit("OBJECT")), "not an object")
+    for name in shape.get("required", []):
+        there = F.try_variant_get(value, F.lit("$['" + name.replace("'", "\\'") + "']"), "variant")
+        found = found.when(there.isNull() | F.is_variant_null(there), f"without {name}")
+    return found
+
+
 def json_path(col, path: str):
     """A dotted path in a JSON column."""
     return F.get_json_object(col, "$." + path)

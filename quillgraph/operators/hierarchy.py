@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Graph, node_id
-from ..errors import Conflict
+from ..errors import BudgetExceeded, Conflict
 
 
 def edge_frame(graph: Graph, label: str = "contains", pairs: list[tuple[str, str]] | None = None, filters=None) -> DataFrame:
@@ -30,27 +30,43 @@ def edge_frame(graph: Graph, label: str = "contains", pairs: list[tuple[str, str
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def subtree(roots: DataFrame, edges: DataFrame, min_depth: int = 0, max_depth: int = -1, direction: str = "out") -> DataFrame:
+def subtree(roots: DataFrame, edges: DataFrame, min_depth: int = 0, max_depth: int = -1, direction: str = "out", max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
     """(root, node, parent, edge_id, ord, depth) for roots (column root): breadth first, each
     node once per root, the root itself at depth 0 unless min_depth is above. Unbounded
-    with max_depth -1: it ends when a level is empty."""
+    with max_depth -1: it ends when a level is empty. All roots together visit ``max_nodes``
+    nodes and follow ``max_edges`` edges at most, or a level beyond them is an error."""
+    budgeted = max_nodes is not None or max_edges is not None
     e = edges if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id", "ord")
     at = roots.select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("ord"), F.lit(0).alias("depth")).distinct()
     seen, depth = at, 0
+    nodes, followed = (at.count() if budgeted else 0), 0
+    _within(nodes, max_nodes, "nodes")
     best = Window.partitionBy("root", "node").orderBy(F.col("ord").asc_nulls_last(), "edge_id")
     while max_depth < 0 or depth < max_depth:
         depth += 1
         nxt = at.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node"), F.col("src").alias("parent"), "edge_id", "ord", F.lit(depth).alias("depth"))
+        if max_edges is not None:
+            nxt = nxt.checkpoint()
+            followed += nxt.count()
+            _within(followed, max_edges, "edges")
         nxt = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         nxt = nxt.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
-        if max_depth < 0 or depth % 3 == 0:  # written once: every later level reads it
+        if max_depth < 0 or budgeted or depth % 3 == 0:  # written once: every later level reads it
             nxt = nxt.checkpoint()
+            if budgeted:
+                nodes += nxt.count()
+                _within(nodes, max_nodes, "nodes")
             if nxt.isEmpty():
                 break
         at, seen = nxt, seen.unionByName(nxt)
     return seen.filter(F.col("depth") >= min_depth)
 
 
+def _within(n: int, most: int | None, what: str) -> None:
+    if most is not None and n > most:
+        raise BudgetExceeded(f"more than {most} {what}")
+
+
 def child_order():
     """Children by numeric order, ordered ones first, then edge id."""
     return Window.partitionBy("src").orderBy(F.col("ord").asc_nulls_last(), "edge_id")

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Bring in the modules that register queries."""
-    from . import queries_language, queries_more, queries_read  # noqa: F401
+    from . import queries_language, queries_more, queries_read, queries_services  # noqa: F401
 
 
 _load()

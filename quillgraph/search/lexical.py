@@ -14,13 +14,15 @@ lives and which of its postings count; ``compact`` makes all of them one segment
 
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import places
-from ..errors import Conflict
+from ..errors import Conflict, StaleCursor, Unsupported
 from ..functions import values as V
 from . import expression as X
 
@@ -114,6 +116,35 @@ class LexicalIndex:
         matched = F.filter(F.array(*[F.lit(t) for t in scored]), lambda t: F.map_contains_key("m", t))
         return rows.select("doc", score.alias("score"), matched.alias("matched")).filter("score > 0")
 
+    def matched_fields(self, rows: DataFrame) -> DataFrame:
+        """Adds matched_fields: the numbers of the fields where a row's matched terms stand."""
+        terms = rows.select("doc", F.explode("matched").alias("term"))
+        at = self.postings.join(terms, ["doc", "term"]).select("doc", F.explode("fields").alias("f"))
+        return rows.join(at.groupBy("doc").agg(F.sort_array(F.collect_set("f")).alias("matched_fields")), "doc")  # one a field
+
+    def paged(self, text: str, size: int = PAGE, offset: int = 0, token: str | None = None, **options):
+        """(rows with rank, diagnostics, next token): a page by offset or by token, not both.
+        Diagnostics: segments searched, postings lists read, candidates, whether more follow."""
+        if offset < 0 or (token is not None and offset):
+            raise Unsupported("a page has an offset from 0 or a token, not both")
+        if token is not None:
+            try:
+                offset = int(json.loads(base64.urlsafe_b64decode(token))["offset"])
+            except (ValueError, KeyError, TypeError) as e:
+                raise StaleCursor("the token can't be read") from e
+            if offset < 0:
+                raise StaleCursor("the token can't be read")
+        found = self.search(text, **options)
+        n = found.count()
+        order = [F.desc("score"), F.col("doc")]
+        rows = ranked(found.orderBy(*order).offset(offset).limit(size), order).withColumn("rank", F.col("rank") + F.lit(offset))
+        more = offset + size < n
+        seen = {"segments": self.segment_count(), "postings_lists": len(set(X.all_terms(X.parse(text)))), "candidates": n, "truncated": more}
+        return rows, seen, base64.urlsafe_b64encode(json.dumps({"offset": offset + size}).encode()).decode() if more else None
+
+    def segment_count(self) -> int:
+        return 1
+
     def _phrase(self, terms) -> Column:
         """Whether the terms stand one after another."""
         first = F.col("m")[terms[0]]["positions"]
@@ -202,8 +233,13 @@ class StoredIndex(LexicalIndex):
         """Whether the only segment has no deleted documents."""
         return self.spark.read.parquet(f"{self.path}/segment-0/documents").filter("deleted").isEmpty()
 
+    def segment_count(self) -> int:
+        return len(self._segments())
+
     def statistics(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/segment-{self._segments()[-1]}/statistics").select("n", "mean")
+        at = f"{self.path}/segment-{self._segments()[-1]}/statistics"
+        # a writer that was lost after its segment counts has left them out
+        return self.spark.read.parquet(at).select("n", "mean") if places.exists(self.spark, f"{at}/_SUCCESS") else super().statistics()
 
     def hits(self, terms: list[str]) -> DataFrame:
         parts = [r["part"] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_part("term").alias("part")).distinct().collect()]

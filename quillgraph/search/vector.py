@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import BudgetExceeded, StaleCursor
 from ..functions import values as V
 from ..operators.versions import latest
 
-TOP = 10
+#: Results of a search, and candidates of one that goes page by page.
+TOP, MOST = 10, 10_000
 
 
 def fresh_records(records: DataFrame, keys: list[str], created: str = "created", tombstone: str = "tombstone") -> DataFrame:
@@ -47,6 +52,36 @@ def merge_bindings(found: list[DataFrame], key: str = "vec_id", k: int = TOP) ->
     return one.orderBy(F.desc("score"), key).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+def current(hits: DataFrame, bindings: dict[str, tuple[int, str]]) -> tuple[DataFrame, DataFrame]:
+    """(hits whose vectors were made as their binding is configured now, bindings with stale
+    ones). ``bindings``: binding -> (generation, configuration); hits: binding, generation,
+    configuration. Hits of bindings that aren't there any more are stale too."""
+    good = F.lit(False)
+    for b, (generation, configuration) in bindings.items():
+        good = good | ((F.col("binding") == b) & (F.col("generation") == generation) & (F.col("configuration") == configuration))
+    good = F.coalesce(good, F.lit(False))
+    return hits.filter(good), hits.filter(~good).select("binding").distinct()
+
+
+def hits_page(hits: DataFrame, size: int = TOP, token: str | None = None, key: str = "vec_id"):
+    """(rows, next token) of a bounded ranking (key, score, rank). A token holds the digest of
+    the whole ranking: once that has changed the token is no good."""
+    found = hits.orderBy("rank").limit(MOST + 1).collect()  # MOST candidates at most
+    if len(found) > MOST:
+        raise BudgetExceeded(f"a ranking has at most {MOST} candidates")
+    mark, at = hashlib.sha256(repr([(r[key], r["score"]) for r in found]).encode()).hexdigest(), 0
+    if token is not None:
+        try:
+            held, start = base64.urlsafe_b64decode(token).decode().split(":")
+            at = int(start)
+        except ValueError as e:
+            raise StaleCursor("the token can't be read") from e
+        if held != mark or not 0 <= at <= len(found):
+            raise StaleCursor("the ranking has changed")
+    end = at + size
+    return found[at:end], base64.urlsafe_b64encode(f"{mark}:{end}".encode()).decode() if end < len(found) else None
+
+
 def eligible(hits: DataFrame, nodes: DataFrame, key: str, condition: Column, min_score: float | None = None) -> DataFrame:
     """Hits whose nodes pass; with a filter the score's test comes after it."""
     out = hits.join(nodes.filter(condition), key, "left_semi")

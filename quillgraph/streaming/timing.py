@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import Conflict
+
 
 def debounce(rows: DataFrame, key: str, at: str, gap: str, order: str) -> DataFrame:
     """Batch: bursts of a key whose rows follow each other within ``gap``; the newest row of
@@ -35,6 +39,20 @@ def dirty_work(changes: DataFrame, target: str, revision: str, at: str, cooldown
     return new.groupBy(target).agg(F.max(revision).alias("revision"), (F.max(at) + F.expr(f"INTERVAL {cooldown}")).alias("run_at"))
 
 
+def consumers_work(changes: DataFrame, target: str, revision: str, at: str, cooldown: str, checkpoints: dict[str, int]) -> DataFrame:
+    """(consumer, target, revision, run_at): ``dirty_work`` of every consumer from its own
+    checkpoint, by one aggregation: a target is dirty to those who haven't seen its newest change."""
+    newest = changes.groupBy(target).agg(F.max(revision).alias("revision"), F.max_by(at, revision).alias("__at"))
+    each = F.array(*[F.struct(F.lit(c).alias("consumer"), F.lit(r).cast("long").alias("seen")) for c, r in sorted(checkpoints.items())])
+    due = newest.withColumn("__c", F.explode(each)).filter(F.col("revision") > F.col("__c.seen"))
+    return due.select("__c.consumer", target, "revision", (F.col("__at") + F.expr(f"INTERVAL {cooldown}")).alias("run_at"))
+
+
+def advanced(checkpoints: dict[str, int], done: dict[str, int]) -> dict[str, int]:
+    """Checkpoints after some work: they only go forward."""
+    return {c: max(r, done.get(c, r)) for c, r in checkpoints.items()}
+
+
 def backoff(attempt: int, base: float = 1.0, most: float = 300.0) -> float:
     """Seconds before a retry: doubling, bounded."""
     return min(most, base * 2 ** max(0, attempt - 1))
@@ -48,3 +66,55 @@ def bootstrap(snapshot: DataFrame, changes: DataFrame, revision: int, apply):
     if gap(changes, revision).first()["gap"]:
         raise ValueError("history between the snapshot and the changes is missing")
     return apply(snapshot, replay(changes, revision))
+
+
+@dataclass(frozen=True)
+class SourcePage:
+    """Changes of a scope after a revision, up to ``end``; whether more follow."""
+
+    scope: str
+    after: int
+    end: int
+    rows: DataFrame
+    more: bool
+
+
+def pages_of(changes: DataFrame, scope: str, revision: str = "revision", compacted: int | None = None):
+    """Reads pages of changes, ordered by revision, by one distributed top-k each. A revision
+    is never split: one larger than a page is a page of its own. History up to ``compacted``
+    is gone: pages begin after it."""
+
+    def read(of: str, after: int, size: int) -> SourcePage:
+        after = after if compacted is None else max(after, compacted)
+        new = changes.filter(F.col(revision) > after).orderBy(revision).limit(size + 1)
+        seen = new.agg(F.count(F.lit(1)).alias("n"), F.max(revision).alias("last")).first()
+        if seen["n"] <= size:
+            return SourcePage(scope, after, seen["last"] if seen["n"] else after, new, False)
+        rows = new.filter(F.col(revision) < seen["last"])
+        end = rows.agg(F.max(revision)).first()[0]
+        if end is None:
+            rows, end = changes.filter(F.col(revision) == seen["last"]), seen["last"]
+        return SourcePage(scope, after, end, rows, True)
+
+    return read
+
+
+def paged_replay(read, scope: str, boundary: int, size: int, apply) -> int:
+    """Applies every page after a snapshot's boundary once and in order; returns the revision
+    reached. Pages of another scope, a gap between pages, or no progress are an error; an
+    error of ``apply`` leaves the later pages undone."""
+    if size <= 0:
+        raise ValueError("a page has at least one change")
+    after = boundary
+    while True:
+        page = read(scope, after, size)
+        if page.scope != scope:
+            raise Conflict(f"a page of {page.scope} within {scope}")
+        if page.after != after:
+            raise Conflict(f"a page from {page.after}, {after} was asked for")
+        if page.end < after or (page.more and page.end == after):
+            raise Conflict(f"no progress beyond {after}")
+        apply(page)
+        after = page.end
+        if not page.more:
+            return after
