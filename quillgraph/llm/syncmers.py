@@ -10,8 +10,14 @@ touches the k-mers over it. In a text of fewer than K tokens every token is an a
 The fingerprint is the KEPT smallest anchor hashes (40 bits each, in hex, ascending):
 a sketch of the set of anchors. The likeness of two fingerprints estimates the Jaccard
 likeness of the sets from the KEPT smallest of their union; two empty texts are alike (1),
-an empty and a nonempty one not (0). Anchors also come with their place, which lets
-passages be matched by position.
+an empty and a nonempty one not (0).
+
+Anchors also come with their place in tokens, which lets passages be matched by position: two
+anchors with one hash are so far apart, and a passage that two texts share has all its anchors
+equally far apart. ``placed`` samples a text's anchors with their places: the KEPT smallest,
+and in longer texts all those below a fixed part of the hashes, so the sample grows with the
+text. ``agreement`` is the share of two samples' anchors that both texts have at the same
+place, or as far apart as another of them: chance matches of single k-mers don't count.
 
 Null texts count as empty. Equal texts have equal fingerprints. Repeated rows each get
 their row. doc_ids order the documents, nulls last; rows with one doc_id (or none) go by
@@ -29,6 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, KEPT = 4, 64
+#: Samples with places hold one in PART of a text's anchors, and KEPT at least.
+PART = 32
 #: Rows per range of doc_ids when neighbours are sought, and ranges at most (then larger).
 BUCKET_ROWS, BUCKETS = 8_000, 1 << 14
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -60,14 +68,65 @@ def anchors(df: DataFrame, text_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size("h") >= K, found).otherwise(few)).drop("h", "places")
 
 
-def sketch(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """Adds ``out``: the KEPT smallest anchor hashes of a text column, ascending."""
+def _pack(hash_: Column, place: Column) -> Column:
+    """A hash of 40 bits and a place (modulo 2^24) as one long, in order of (hash, place)."""
+    return F.shiftleft(hash_, 24).bitwiseOR(F.pmod(place.cast("long"), F.lit(1 << 24))).bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _hash_of(x: Column) -> Column:
+    return F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), 24)
+
+
+def _place_of(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 24) - 1))
+
+
+def _first_of_hash(packed: str) -> Column:
+    """Of an ascending array, the first entry of every hash."""
+    return F.filter(packed, lambda x, i: (i == 0) | (_hash_of(F.get(F.col(packed), i - 1)) != _hash_of(x)))
+
+
+def _sample_size(packed: str) -> Column:
+    low = F.lit(((1 << 63) // PART << 1) - (1 << 63))
+    return F.greatest(F.lit(KEPT), F.size(F.filter(packed, lambda x: x < low)))
+
+
+def placed(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds ``out``: a sample of a text's distinct anchors, each with its first place, packed
+    and ascending: the KEPT smallest hashes, or all of the lowest 1/PART where those are more."""
     df = _hashes(df, text_col)
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("h") - K, F.lit(0))), lambda i: _chosen(F.col("h"), i))
     df = df.withColumn("places", places)
-    many = F.transform("places", lambda i: _kmer(F.col("h"), i))
-    few = F.transform("h", lambda x: F.shiftrightunsigned(x, 24))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(F.when(F.size("h") >= K, many).otherwise(few))), 1, KEPT)).drop("h", "places")
+    many = F.transform("places", lambda i: _pack(_kmer(F.col("h"), i), i))
+    few = F.transform("h", lambda x, i: _pack(F.shiftrightunsigned(x, 24), i))
+    df = df.withColumn("every", F.sort_array(F.when(F.size("h") >= K, many).otherwise(few)))
+    df = df.withColumn("every", _first_of_hash("every"))
+    return df.withColumn(out, F.slice("every", F.lit(1), _sample_size("every"))).drop("h", "places", "every")
+
+
+def hashes_of(sample: Column) -> Column:
+    """The fingerprint's hashes: the KEPT smallest of a sample."""
+    return F.transform(F.slice(sample, 1, KEPT), _hash_of)
+
+
+def sketch(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds ``out``: the KEPT smallest anchor hashes of a text column, ascending."""
+    return placed(df, text_col, out).withColumn(out, hashes_of(F.col(out)))
+
+
+def agreement(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: of the anchors that two samples stand for together, the share that both
+    texts have, at one place or as far apart as another such anchor; 1 for two empty texts."""
+    df = df.withColumn("both", F.sort_array(F.concat(a, b)))
+    df = df.withColumn("least", _first_of_hash("both"))
+    df = df.withColumn("n", F.least(F.size("least"), _sample_size("least")))
+    df = df.withColumn("bound", F.get("least", F.col("n") - 1))
+    twice = lambda x, i: _hash_of(F.get(F.col("both"), i - 1)).eqNullSafe(_hash_of(x)) & (_hash_of(x) <= _hash_of(F.col("bound")))
+    apart = F.transform("both", lambda x, i: F.when(twice(x, i), _place_of(x) - _place_of(F.get(F.col("both"), i - 1))))
+    df = df.withColumn("apart", F.sort_array(F.array_compact(apart)))
+    near = lambda d, i: F.get(F.col("apart"), i).eqNullSafe(d)
+    good = F.size(F.filter("apart", lambda d, i: (d == 0) | near(d, i - 1) | near(d, i + 1)))
+    return df.withColumn(out, F.when(F.col("n") == 0, F.lit(1.0)).otherwise(good / F.col("n")).cast("double")).drop("both", "least", "n", "bound", "apart")
 
 
 def text_of(sk: Column) -> Column:
@@ -142,14 +201,17 @@ def dealt_by_range(df: DataFrame, key: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_anchors (kept in the fingerprint)."""
+    near_next, n_anchors (kept in the fingerprint), and by places the agreement with the
+    edited and with the next text: placed_edited, placed_next."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = sketch(dealt_by_range(d, "doc_id"), "text", "sk")
+    d = placed(dealt_by_range(d, "doc_id"), "text", "at")
     w = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("ord"))
-    d = d.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sk", F.lead("sk").over(w)).filter("copy = 0")
+    d = d.withColumn("next_text", F.lead("text").over(w)).withColumn("next_at", F.lead("at").over(w)).filter("copy = 0")
     third = F.floor(F.length("text") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))
-    d = sketch(d, "edited", "esk")
+    d = placed(d, "edited", "edited_at")
+    d = agreement(agreement(d, "at", "edited_at", "placed_edited"), "at", "next_at", "placed_next")
+    d = d.withColumns({"sk": hashes_of(F.col("at")), "esk": hashes_of(F.col("edited_at")), "next_sk": hashes_of(F.col("next_at"))})
     d = likeness(likeness(d, "sk", "esk", "near_edited"), "sk", "next_sk", "near_next")
     return d.select(
         "doc_id",
@@ -160,4 +222,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "near_edited",
         "near_next",
         F.size("sk").alias("n_anchors"),
+        "placed_edited",
+        "placed_next",
     )

@@ -117,3 +117,64 @@ def test_ranges_hold_about_as_many_rows_however_ids_lie(spark, monkeypatch):
         sizes = [r["count"] for r in dealt.filter("copy = 0").groupBy("bucket").count().collect()]
         assert sum(sizes) == 20_000 and max(sizes) <= 1500 and len(sizes) >= 30, (ids, sorted(sizes)[-5:])
         assert dealt.filter("copy = 1").count() == len(sizes)
+
+
+def places_of(text):
+    """All distinct anchors of a text with their first places, from the definition."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in regex.findall(r"[^ ]{1,16}+", text)]
+    if len(h) < syncmers.K:
+        found = [((x & (1 << 64) - 1) >> 24, i) for i, x in enumerate(h)]
+    else:
+        found = []
+        for i in range(len(h) - syncmers.K + 1):
+            part = h[i : i + syncmers.K]
+            if min(part) in (part[0], part[-1]):
+                seed = 42
+                for x in part:
+                    seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+                found.append((seed >> 24, i))
+    first = {}
+    for x, i in found:
+        first.setdefault(x, i)
+    return first
+
+
+def sampled(found):
+    return sorted(found)[: max(syncmers.KEPT, sum(x < (1 << 40) // syncmers.PART for x in found))]
+
+
+def agreed(x, y):
+    """Agreement of two texts' anchors from the definition."""
+    a, b = places_of(x), places_of(y)
+    least = sampled({*a, *b})
+    apart = Counter(abs(a[h] - b[h]) for h in least if h in a and h in b)
+    return sum(n for d, n in apart.items() if d == 0 or n > 1) / len(least) if least else 1.0
+
+
+def test_agreement_by_places_same_as_naive(spark):
+    rng = random.Random(3)
+    words = lambda n, of=40: [f"w{rng.randrange(of)}" for _ in range(n)]
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("a b", "b a"), ("a b c d e", "a b c d e")]
+    for n in (3, 7, 30, 200, 3000):
+        x, y = words(n, 40 + 5 * n), words(n)
+        pairs += [(" ".join(x), " ".join(y)), (" ".join(x), " ".join([*words(9), *x])), (" ".join(x), " ".join([*x[: n // 2], *words(5), *x[n // 2 :]])), (" ".join(x), " ".join([*x[: -(n // 3)], *y[: n // 3]]))]
+    long = words(30_000, 10**6)
+    pairs.append((" ".join(long), " ".join([*long[:15_000], *words(20), *long[15_100:]])))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+    df = syncmers.placed(syncmers.placed(df, "x", "a"), "y", "b")
+    for i, size, got, other in syncmers.agreement(syncmers.agreement(df, "a", "b", "ab"), "b", "a", "ba").select("i", F.size("a"), "ab", "ba").collect():
+        x, y = pairs[i]
+        assert (size, got, other) == (len(sampled(places_of(x))), agreed(x, y), agreed(x, y)), i
+    assert len(sampled(places_of(" ".join(long)))) > 4 * syncmers.KEPT  # the sample grows with the text
+
+
+def test_agreement_leaves_chance_matches_out(spark):
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    for n, at in enumerate((20, 70, 130)):  # one phrase, at three unlike distances
+        a[at : at + 4], b[at + 7 * n + 5 : at + 7 * n + 9] = [[f"p{n}{i}" for i in range(4)]] * 2
+    rows = [(2, " ".join(a)), (1, " ".join(b))]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].placed_next == 0 and got[2].placed_edited > 0.3
+    same = syncmers.fingerprints(spark.createDataFrame([(1, "x y z"), (2, "x y z"), (3, None), (4, "")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.placed_next for r in same} == {4: 1.0, 3: 0.0, 2: 1.0, 1: 0.0}
